@@ -8,7 +8,7 @@ import sys
 
 from pyspark import cloudpickle
 
-MODULES = ("shared", "sharding")
+MODULES = ("shared", "sharding", "topk", "ann")
 
 for _name in MODULES:
     importlib.import_module(f"{__name__}.{_name}")
