@@ -1,12 +1,13 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
 from .ann import op1_ann
+from .bpe import op2_byte_bpe
 from .sharding import op5_sharding
 from .topk import OP8_SQL, op8_exact_top_k
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op5_sharding, op8_exact_top_k)}
+    return {f.__name__: f for f in (op1_ann, op2_byte_bpe, op5_sharding, op8_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
