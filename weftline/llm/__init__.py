@@ -8,7 +8,7 @@ import sys
 
 from pyspark import cloudpickle
 
-MODULES = ("shared", "sharding", "topk", "ann", "bpe")
+MODULES = ("shared", "hashing", "sharding", "topk", "ann", "bpe", "neardup")
 
 for _name in MODULES:
     importlib.import_module(f"{__name__}.{_name}")

@@ -2,12 +2,13 @@
 
 from .ann import op1_ann
 from .bpe import op2_byte_bpe
+from .neardup import op3_minhash_near_dedup
 from .sharding import op5_sharding
 from .topk import OP8_SQL, op8_exact_top_k
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op2_byte_bpe, op5_sharding, op8_exact_top_k)}
+    return {f.__name__: f for f in (op1_ann, op2_byte_bpe, op3_minhash_near_dedup, op5_sharding, op8_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
