@@ -4,12 +4,13 @@ from .ann import op1_ann
 from .bpe import op2_byte_bpe
 from .langid import op6_language_id
 from .neardup import op3_minhash_near_dedup
+from .secrets import op4_secret_scan
 from .sharding import op5_sharding
 from .topk import OP8_SQL, op8_exact_top_k
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op2_byte_bpe, op3_minhash_near_dedup, op5_sharding, op6_language_id, op8_exact_top_k)}
+    return {f.__name__: f for f in (op1_ann, op2_byte_bpe, op3_minhash_near_dedup, op4_secret_scan, op5_sharding, op6_language_id, op8_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
