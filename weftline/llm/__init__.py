@@ -8,7 +8,7 @@ import sys
 
 from pyspark import cloudpickle
 
-MODULES = ("shared", "hashing", "sharding", "topk", "ann", "bpe", "neardup", "langid", "secrets", "mixing")
+MODULES = ("shared", "hashing", "sharding", "topk", "ann", "bpe", "neardup", "langid", "secrets", "mixing", "licenses", "quality")
 
 for _name in MODULES:
     importlib.import_module(f"{__name__}.{_name}")

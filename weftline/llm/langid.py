@@ -21,6 +21,8 @@ from .shared import small_batches, table
 ORDER, SAMPLE, SAMPLES = 4, 250, 8_000
 #: The model is bounded by the sample: at most this many bytes of text are learned from a language.
 SAMPLE_BYTES = 1_500_000
+#: Longer texts don't teach (they are judged whole all the same).
+TAUGHT_BYTES = 50_000
 UNKNOWN = "und"
 #: Bits a byte that a document must stay under to be kept: plain bytes cost 8.
 REJECT_BITS = 7.5
@@ -117,10 +119,10 @@ def sample_texts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     if not counts:
         return {}
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, float(2**40) * min(1.0, each / n))])
-    drawn = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), luck.alias("luck")).where(F.col("luck") < limit[F.col("lang")])
+    drawn = docs.where(F.octet_length(text_col) <= TAUGHT_BYTES).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), luck.alias("luck")).where(F.col("luck") < limit[F.col("lang")])
     out: dict[str, list[str]] = {}
     room = dict.fromkeys(counts, SAMPLE_BYTES)
-    for r in drawn.orderBy("luck", "lang", "text").limit(min(SAMPLES, 2 * each * len(counts))).toLocalIterator():
+    for r in drawn.orderBy("luck", "lang").limit(min(SAMPLES, 2 * each * len(counts))).toLocalIterator():
         if (n := len(r.text.encode("utf-8", "surrogatepass"))) <= room[r.lang]:
             room[r.lang] -= n
             out.setdefault(r.lang, []).append(r.text)
