@@ -1,7 +1,7 @@
 """Near-duplicates by MinHash banding and sequential Bayesian verification.
 
 1. Texts with one shingle set form a class, held by its least doc_id; classes get MinHash signatures and band keys.
-2. Each bucket of a band links its members to the one of least hash (a star, not all pairs). A pair's signatures are compared
+2. Each bucket of a band links its members to the one of least id (a star, not all pairs). A pair's signatures are compared
    a batch at a time and dropped once the posterior odds of reaching the threshold fall under MISS; what is left is verified
    on the full shingle sets. Connected components follow.
 3. Buckets that still hold several components may hide links that no star tested. Their members meet block by block: those
@@ -175,6 +175,16 @@ def _pick(id_col: str, parts: Column) -> Column:
     return F.pmod(F.xxhash64(id_col, F.lit(11)), parts).cast("int")
 
 
+def _with_text(sent: DataFrame, docs: DataFrame) -> DataFrame:
+    """sent (a written table with an id and a side) with each id's text.
+
+    A Bloom filter of the ids (a few MB, whatever the input; Spark's own runtime filter) keeps most texts that nobody asks for
+    out of the shuffle.
+    """
+    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    return sent.where("side >= 0").join(docs.withColumnRenamed("doc_id", "id"), "id")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
@@ -189,14 +199,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(docs.mapInPandas(_signed(words), "doc_id long, n long, fp binary, bands array<long>, sig binary"))
     has = F.col("fp").isNotNull() & F.col("doc_id").isNotNull()
-    classes = signed.where(has).groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    own = F.col("doc_id") == F.col("rep")
-    whole = cut(signed.where(has).join(classes, "fp").select("doc_id", "n", "rep", *(F.when(own, F.col(c)).alias(c) for c in ("bands", "sig"))))
-    reps = cut(whole.where(F.col("bands").isNotNull()).groupBy(F.col("rep").alias("id")).agg(*(F.first(c).alias(c) for c in ("n", "bands", "sig"))))
+    classes = signed.where(has).groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "bands", "sig"), "doc_id").alias("r"))
+    classes = cut(classes.select("fp", "id", "r.*"))
+    whole = signed.where(has).select("doc_id", "n", "fp").join(classes.select("fp", F.col("id").alias("rep")), "fp").drop("fp")
+    reps = classes.drop("fp")
 
     keys = reps.select("id", F.explode("bands").alias("key"))
-    centres = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("c")).where("size > 1")
-    members = cut(keys.join(centres.select("key", "size", F.col("c.id").alias("centre")), "key"))
+    centres = cut(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1"))
+    members = cut(keys.join(centres, "key"))
 
     stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
@@ -204,13 +214,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     centred = hopeful.groupBy("a").agg(_parts(F.count("*"), F.sum("nb"), MEMBERS).alias("parts"))
     sent = hopeful.join(centred, "a").select(F.col("a").alias("g"), _pick("b", F.col("parts")).alias("s"), F.col("b").alias("id"), F.lit(1).alias("side"))
     sent = sent.unionByName(centred.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.col("a").alias("id"), F.lit(0).alias("side")))
-    texts = docs.withColumnRenamed("doc_id", "id")
-    links = cut(sent.join(texts, "id").repartition("g", "s").sortWithinPartitions("g", "s", "side").mapInPandas(_stars(words, percent), "u long, v long"))
+    links = cut(_with_text(cut(sent), docs).repartition("g", "s").sortWithinPartitions("g", "s", "side").mapInPandas(_stars(words, percent), "u long, v long"))
     labels = components(links)
 
     named = members.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = cut(named.select("key", "id", "label"))
     mixed_up = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("most")).where("labels > 1")
+    mixed_up = cut(mixed_up)
     rest = cut(named.join(mixed_up.select("key", F.col("most.label").alias("g")), "key").select("g", "id", "label").distinct().join(reps.select("id", "n"), "id"))
     main = F.col("label") == F.col("g")
     count = lambda c, x: _parts(F.count_if(c), F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)), MEMBERS).alias(x)
@@ -227,13 +237,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         )
     )
     met = rest.select("g", "id", "label", F.explode(cells).alias("x")).select("g", "id", "label", "x.i", "x.j", "x.side")
-    met = met.join(reps, "id").join(texts, "id").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
+    met = _with_text(cut(met), docs).join(reps, "id").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
     more = met.mapInPandas(_blocks(words, percent, least), "u long, v long")
 
     held = lambda x, y: labels.select(F.col("node").alias(x), F.col("label").alias(y))
     more = more.join(held("u", "lu"), "u", "left").join(held("v", "lv"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
     joined = components(cut(more)).select(F.col("node").alias("l1"), F.col("label").alias("l2"))
-    merged = reps.select(F.col("id").alias("rep")).join(held("rep", "l"), "rep", "left").select("rep", F.coalesce("l", "rep").alias("l1"))
+    merged = reps.select(F.col("id").alias("rep")).distinct().join(held("rep", "l"), "rep", "left").select("rep", F.coalesce("l", "rep").alias("l1"))
     merged = cut(merged.join(joined, "l1", "left").select("rep", F.coalesce("l2", "l1").alias("component_id")))
     out = whole.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(merged, "rep").drop("rep")
     alone = signed.where(~has).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
