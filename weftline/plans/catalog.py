@@ -59,11 +59,11 @@ def op_arith_int(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(compiler.column(e, at).alias(k) for k, e in made.items()))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge, round(l_extendedprice / l_quantity, 2) AS unit, round(-(l_discount + 1), 2) AS less FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_extendedprice / l_quantity AS unit, -(l_discount + 1) AS less FROM lineitem")
 def op_arith_float(spark, sf_dir):
     at = {"p": (F.col("l_extendedprice"), T.FLOAT), "d": (F.col("l_discount"), T.FLOAT), "t": (F.col("l_tax"), T.FLOAT), "q": (F.col("l_quantity"), T.FLOAT)}
     made = {"charge": "p * (1 - d) * (1 + t)", "unit": "p / q", "less": "-(d + 1)"}
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(compiler.column(e, at), 2).alias(k) for k, e in made.items()))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(compiler.column(e, at).alias(k) for k, e in made.items()))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'inf' ELSE 'finite' END AS kind, CASE WHEN event_id % 4 = 0 THEN NULL ELSE round((value + 1) / (event_id % 4), 4) END AS ratio FROM events")
@@ -364,9 +364,9 @@ def fl_scatter_gather(spark, sf_dir):
     return compiler.run(rows, flow, keep=["c_custkey"]).select("c_custkey", L.sep(",", F.col("doubled"), T.INT).alias("doubled"), "n")
 
 
-@query("SELECT o_custkey, string_agg(lines, '|' ORDER BY l_orderkey) AS quantities FROM (SELECT l_orderkey, string_agg(CAST(round(l_quantity) AS BIGINT)::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS lines FROM lineitem GROUP BY l_orderkey) JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey")
+@query("SELECT o_custkey, string_agg(lines, '|' ORDER BY l_orderkey) AS quantities FROM (SELECT l_orderkey, string_agg(CAST(round(l_quantity) AS BIGINT)::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS lines FROM lineitem GROUP BY l_orderkey) JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def fl_nested_scatter(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"), L.round_(F.col("l_quantity")).alias("q"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("at"), L.round_(F.col("l_quantity")).alias("q"))
     lines = dataflow.gather(items, ["l_orderkey"], "at", ["q"]).select("l_orderkey", L.sep(",", F.col("q"), T.INT).alias("lines"))
     by_order = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
     return dataflow.gather(by_order, ["o_custkey"], "o_orderkey", ["lines"]).select("o_custkey", L.sep("|", F.col("lines")).alias("quantities"))

@@ -430,7 +430,7 @@ LIBRARY = {
     "squote": (_of(1), _quoted(L.squote)),
     "sep": (_of(2), lambda s, a: Value(L.sep(s.to(STRING), a.col, _items(a)), STRING)),
     "range": (_of(1), lambda n: Value(L.range_(n.to(INT)), T.array(INT))),
-    "transpose": (_of(1), lambda a: Value(L.transpose(a.col), a.type)),
+    "transpose": (_of(1), lambda a: Value(L.transpose(a.col) if _items(a).args else a.col, a.type)),
     "cross": (_of(2), _cross),
     "zip": (_of(2), _zip),
     "unzip": (_of(1), _unzip),
