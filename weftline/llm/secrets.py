@@ -107,15 +107,23 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-@F.pandas_udf("struct<base: array<struct<kind: int, start: int, end: int>>, cand: array<struct<start: int, end: int, stratum: int, bin: int>>>")
-def _scanned(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in series:
-        base, cand = [], []
-        for t in texts:
-            found = base_spans(t or "")
-            base.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
-            cand.append([dict(zip(("start", "end", "stratum", "bin"), c)) for c in candidates(t or "", found)])
-        yield pd.DataFrame({"base": base, "cand": cand})
+_FOUND = "struct<base: array<struct<kind: int, start: int, end: int>>, cand: array<struct<start: int, end: int, stratum: int, bin: int>>>"
+
+
+def _scanned(text: Column) -> Column:
+    """Base spans and candidates of each text."""
+
+    @F.pandas_udf(_FOUND)
+    def scan(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in series:
+            base, cand = [], []
+            for t in texts:
+                found = base_spans(t or "")
+                base.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
+                cand.append([dict(zip(("start", "end", "stratum", "bin"), c)) for c in candidates(t or "", found)])
+            yield pd.DataFrame({"base": base, "cand": cand})
+
+    return scan(text)
 
 
 def cutoffs(cand: DataFrame, false: float = FALSE) -> dict[int, int]:
