@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import word_hashes
-from .shared import cut, small_batches, table
+from .shared import BATCH_ROWS, cut, small_batches, table
 
 #: Labelled documents that the classifier is fitted to at most, hashed features, passes of the fit, its step and penalty.
 SAMPLE, FEATURES, PASSES, STEP, PENALTY = 6_000, 1 << 14, 150, 1.0, 1e-3
@@ -50,7 +50,7 @@ def fitted(texts: list[str], labels: list[int]) -> np.ndarray:
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return w
-    rows = list(_features(texts))
+    rows = [x for i in range(0, len(texts), BATCH_ROWS) for x in _features(texts[i : i + BATCH_ROWS])]  # hashing takes some 40 bytes a byte of text at once
     f = np.concatenate([a for a, _ in rows])
     v = np.concatenate([b for _, b in rows])
     r = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
