@@ -82,6 +82,19 @@ def test_licences(spark, messy, nothing):
     assert licenses.license_scan(messy).where("size(licenses) > 0").count() == 0 and licenses.license_scan(nothing).collect() == []
 
 
+def found_licences(text, templates=licenses.TEMPLATES):
+    known = {k: licenses.tokens(v)[0] for k, v in templates.items()}
+    return licenses.licences(text, known, licenses.rarest(known, licenses.COVERAGE))
+
+
+def test_notices_may_lack_any_one_word_of_five():
+    for name in ("mit-notice", "cc-by-nc-4.0-notice"):
+        words = licenses.tokens(licenses.TEMPLATES[name])[0]
+        for k in range(5):
+            got = found_licences(" ".join(["a b c", *words[:k], "changed", *words[k + 1 :], "d e f"]))
+            assert [(x["license"], x["coverage"]) for x in got] == [(name, 0.8)]
+
+
 def test_languages(spark, messy, nothing):
     rows = [(i, sentence(lang, i, 30), lang) for lang, k in zip(WORDS, (0, 1000, 2000)) for i in range(k, k + 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

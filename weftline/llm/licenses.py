@@ -7,6 +7,7 @@ way (words that are unique within the gap anchor it). Coverage is the share of t
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -89,6 +90,25 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def needed(template: list[str], coverage: float) -> int:
+    """The fewest words of the template that make up the coverage (4 of 5 at 0.8, whatever the rounding of the product)."""
+    return math.ceil(coverage * len(template) - 1e-9)
+
+
+def rarest(templates: dict[str, list[str]], coverage: float) -> dict[str, set[str]]:
+    """Each template's rarest words among all templates, so many that any match at the wanted coverage holds one of them."""
+    often = Counter(w for v in templates.values() for w in set(v))
+    out = {}
+    for k, v in templates.items():
+        ranked = sorted(set(v), key=lambda w: (often[w], -len(w), w))
+        n, left, counts = 0, len(v) - needed(v, coverage), Counter(v)
+        while n < len(ranked) and left >= 0:
+            left -= counts[ranked[n]]
+            n += 1
+        out[k] = set(ranked[:n])
+    return out
+
+
 def _stretches(words: list[str], template: list[str], rare: set[str]) -> Iterator[tuple[int, int]]:
     """Parts of the text that can hold the template: around places of its rare words, as far as STRETCH templates reach."""
     reach = STRETCH * len(template)
@@ -111,26 +131,27 @@ def licences(text: str, templates: dict[str, list[str]], rare: dict[str, set[str
     have = set(words)
     out = []
     for name, template in templates.items():
+        need = needed(template, coverage)
         if len(have.intersection(template)) < coverage * len(set(template)):
             continue
         for begin, end in _stretches(words, template, rare[name]):
             parts = [(begin, end)]
             while parts:
                 b, e = parts.pop()
-                if e - b < coverage * len(template):
+                if e - b < need:
                     continue
                 part = words[b:e]
                 met = aligned(part, template)
                 share = len(met) / len(template)
                 span = met[-1][0] - met[0][0] + 1 if met else 0
-                if share < coverage or span > STRETCH * len(template):
+                if len(met) < need or span > STRETCH * len(template):
                     # several copies leave no word unique: look again between the places where the template can begin
                     starts = [k for k in range(b, e) if words[k] == template[0]]
                     if len(starts) > 1:
                         best = [(k, aligned(words[k : min(e, k + 2 * len(template))], template)) for k in starts]
                         free = b
                         for k, m in best:
-                            if k >= free and len(m) >= coverage * len(template):
+                            if k >= free and len(m) >= need:
                                 free = k + m[-1][0] + 1
                                 out.append({"license": name, "coverage": len(m) / len(template), "start": places[k + m[0][0]][0], "end": places[free - 1][1]})
                     continue
@@ -149,17 +170,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     small_batches(docs.sparkSession)
     known = {k: tokens(v)[0] for k, v in (TEMPLATES if templates is None else templates).items()}
     known = {k: v for k, v in known.items() if v}
-    # a template's rarest words among all templates: any match at the wanted coverage holds one of them
-    often = Counter(w for v in known.values() for w in set(v))
-    rare = {}
-    for k, v in known.items():
-        ranked = sorted(set(v), key=lambda w: (often[w], -len(w), w))
-        n, left = 0, int((1 - coverage) * len(v))
-        counts = Counter(v)
-        while n < len(ranked) and left >= 0:
-            left -= counts[ranked[n]]
-            n += 1
-        rare[k] = set(ranked[:n])
+    rare = rarest(known, coverage)
 
     @F.pandas_udf("array<struct<license: string, coverage: double, start: int, end: int>>")
     def scan(texts: pd.Series) -> pd.Series:
