@@ -95,6 +95,17 @@ def test_notices_may_lack_any_one_word_of_five():
             assert [(x["license"], x["coverage"]) for x in got] == [(name, 0.8)]
 
 
+def test_worn_copies_are_found_in_short_texts():
+    for name in ("mit", "apache-2.0-header", "gpl-3.0-header", "bsd-3-clause", "isc"):
+        words = licenses.tokens(licenses.TEMPLATES[name])[0]
+        once = [k for k, w in enumerate(words) if words.count(w) == 1]
+        n = len(words) - licenses.needed(words, licenses.COVERAGE)
+        lost = [once[i * len(once) // n] for i in range(n)]
+        text = " ".join(w for k, w in enumerate(words) if k not in lost)
+        for around in ("", " ".join(words[k] for k in lost) + " x" * 1000):
+            assert name in [x["license"] for x in found_licences(f"{text} {'y ' * 1000 if around else ''}{around}")]
+
+
 def test_languages(spark, messy, nothing):
     rows = [(i, sentence(lang, i, 30), lang) for lang, k in zip(WORDS, (0, 1000, 2000)) for i in range(k, k + 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

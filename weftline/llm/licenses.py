@@ -132,7 +132,7 @@ def licences(text: str, templates: dict[str, list[str]], rare: dict[str, set[str
     out = []
     for name, template in templates.items():
         need = needed(template, coverage)
-        if len(have.intersection(template)) < coverage * len(set(template)):
+        if sum(map(have.__contains__, template)) < need:
             continue
         for begin, end in _stretches(words, template, rare[name]):
             parts = [(begin, end)]
