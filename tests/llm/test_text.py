@@ -106,6 +106,17 @@ def test_worn_copies_are_found_in_short_texts():
             assert name in [x["license"] for x in found_licences(f"{text} {'y ' * 1000 if around else ''}{around}")]
 
 
+def test_repeated_copies_with_a_changed_first_word_are_all_found():
+    for name, template in licenses.TEMPLATES.items():
+        words = licenses.tokens(template)[0]
+        copy = " ".join(["changed", *words[1:]])
+        for n in (2, 3, 7):
+            for between in (" ", " x y z ", " and the other part is "):
+                text = "It came so. " + between.join([copy] * n) + " More text follows here." * 3
+                got = [text[x["start"] : x["end"]] for x in found_licences(text) if x["license"] == name]
+                assert got == [" ".join(words[1:])] * n
+
+
 def test_languages(spark, messy, nothing):
     rows = [(i, sentence(lang, i, 30), lang) for lang, k in zip(WORDS, (0, 1000, 2000)) for i in range(k, k + 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

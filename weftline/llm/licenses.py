@@ -124,6 +124,57 @@ def _stretches(words: list[str], template: list[str], rare: set[str]) -> Iterato
         yield begin, end
 
 
+def _around(words: list[str], template: list[str], k: int, j: int, lo: int, hi: int) -> list[tuple[int, int]]:
+    """The alignment of words[lo:hi] and the template in which place k meets the template's place j."""
+    left = aligned(words[lo:k], template[:j])
+    right = aligned(words[k + 1 : hi], template[j + 1 :])
+    return [*((lo + x, y) for x, y in left), (k, j), *((k + 1 + x, j + 1 + y) for x, y in right)]
+
+
+def _copies(words: list[str], begin: int, end: int, template: list[str], rare: set[str], need: int) -> Iterator[list[tuple[int, int]]]:
+    """Alignments of the copies in a stretch, from left to right. Each place of a rare word (or of the first word) is met with
+    its own places in the template, and what lies on both sides is aligned as far as the word's repeats: a copy holds no more
+    of them than the template. Of the alignments that share a copy the fullest stays, then the shortest."""
+    reach, counts = STRETCH * len(template), Counter(template)
+    offsets: dict[str, list[int]] = {w: [] for w in (*rare, template[0])}
+    for j, w in enumerate(template):
+        if w in offsets:
+            offsets[w].append(j)
+    at = [k for k in range(begin, end) if words[k] in offsets]
+    of: dict[str, list[int]] = {w: [] for w in offsets}
+    nth = {}
+    for k in at:
+        nth[k] = len(of[words[k]])
+        of[words[k]].append(k)
+
+    def best(k: int, free: int) -> list[tuple[int, int]]:
+        lo, hi = max(free, k - reach), min(end, k + reach)
+        if sum(min(n, counts[w]) for w, n in Counter(words[lo:hi]).items() if w in counts) < need:
+            return []
+        own, js, found = of[words[k]], offsets[words[k]], []
+        for i, j in enumerate(js):
+            before, after = nth[k] - i - 1, nth[k] + len(js) - i
+            near = max(lo, own[before] + 1) if before >= 0 else lo, min(hi, own[after]) if after < len(own) else hi
+            found += [_around(words, template, k, j, *x) for x in {near, (lo, hi)}]
+        return max((m for m in found if len(m) >= need and m[-1][0] - m[0][0] < reach), key=_rank, default=[])
+
+    free, i = begin, 0
+    while i < len(at):
+        m = best(at[i], free) if at[i] >= free else []
+        if m:
+            first, last = at[i], m[-1][0]
+            for k in at[i + 1 : bisect_left(at, last + 1)]:
+                if (other := best(k, free)) and other[0][0] <= first:
+                    m = max(m, other, key=_rank)
+            yield m
+            free = m[-1][0] + 1
+        i += 1
+
+
+def _rank(m: list[tuple[int, int]]) -> tuple[int, int]:
+    return len(m), m[0][0] - m[-1][0]
+
+
 def licences(text: str, templates: dict[str, list[str]], rare: dict[str, set[str]], coverage: float = COVERAGE) -> list[dict]:
     """Templates found in the text: name, coverage, start and end. Every stretch of the text that can hold one is aligned;
     within it, occurrences are taken from left to right. A notice inside a longer licence found at the same place gives way."""
@@ -145,15 +196,9 @@ def licences(text: str, templates: dict[str, list[str]], rare: dict[str, set[str
                 share = len(met) / len(template)
                 span = met[-1][0] - met[0][0] + 1 if met else 0
                 if len(met) < need or span > STRETCH * len(template):
-                    # several copies leave no word unique: look again between the places where the template can begin
-                    starts = [k for k in range(b, e) if words[k] == template[0]]
-                    if len(starts) > 1:
-                        best = [(k, aligned(words[k : min(e, k + 2 * len(template))], template)) for k in starts]
-                        free = b
-                        for k, m in best:
-                            if k >= free and len(m) >= need:
-                                free = k + m[-1][0] + 1
-                                out.append({"license": name, "coverage": len(m) / len(template), "start": places[k + m[0][0]][0], "end": places[free - 1][1]})
+                    # several copies leave no word unique: look again around each place of a rare word
+                    for m in _copies(words, b, e, template, rare[name], need):
+                        out.append({"license": name, "coverage": len(m) / len(template), "start": places[m[0][0]][0], "end": places[m[-1][0]][1]})
                     continue
                 first, last = b + met[0][0], b + met[-1][0]
                 out.append({"license": name, "coverage": share, "start": places[first][0], "end": places[last][1]})
