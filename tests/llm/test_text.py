@@ -49,6 +49,20 @@ def test_written_words_are_no_secrets(spark):
     assert all(not r.spans for r in rows)
 
 
+def test_long_runs_are_read_whole(spark):
+    words = "".join(re.findall("[a-z]+", " ".join(sentence("en", i, 60) for i in range(40)))) * 3
+    key = "".join(np.random.default_rng(1).choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 80))
+    places = [0, 50, 390, 1_111, 2_345, 3_920]
+    rows = [(i, "see " + words[:k] + key + words[k:3_920] + " end") for i, k in enumerate(places)] + [(6, words[:4_000]), (7, key * 20)]
+    for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        added = [(s.start, s.end) for s in r.spans if s.at == 3]
+        if r.doc_id < 6:
+            k = 4 + places[r.doc_id]
+            assert len(added) == 1 and added[0][0] <= k and k + 80 <= added[0][1] and added[0][1] - added[0][0] <= 250
+        else:
+            assert added == ([] if r.doc_id == 6 else [(0, 1_600)])  # windows that overlap are one span
+
+
 def test_false_discovery_cutoffs(spark):
     # 90 draws as chance gives them and ten far beyond: the ten are found
     rows = [(1, int(-np.log10((i + 0.5) / 90) * secrets.STEPS)) for i in range(90)] + [(1, 60)] * 10

@@ -3,8 +3,8 @@
 Beside the patterns' spans, every run of RUN or more characters of the base-64 alphabets is a candidate. Its encoding is
 inferred, and three tests ask how unlike written text in that alphabet it is: pairs of equal characters (the chi-squared
 statistic against a uniform alphabet, read against text), runs (changes of character class), and serial correlation
-(vowels and consonants in turn; for hex the lag-1 correlation of digits). Fisher's method combines them. All candidates of
-all documents then go through Benjamini-Hochberg, within strata of encoding and length so that the many short words don't
+(vowels and consonants in turn; for hex the lag-1 correlation of digits). Fisher's method combines them. Runs of more than
+WHOLE characters are tested in windows that overlap by half, each a candidate of its own. All candidates of all documents then go through Benjamini-Hochberg, within strata of encoding and length so that the many short words don't
 decide about long strings; p-values are counted in bins, so that a stratum is a bounded histogram.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN = 20
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN)
+#: Runs of more than WHOLE characters are tested in windows of WINDOW, short enough for a key within to stand out.
+WHOLE, WINDOW = 400, 100
 #: Share of false discoveries allowed in a stratum, and -log10 p in steps of 1 / STEPS up to MOST.
 FALSE, STEPS, MOST = 1e-3, 4, 60
 #: What written text does: share of adjacent characters that change class; of adjacent letters that change between vowel and consonant.
@@ -55,6 +58,7 @@ def encoding(s: str) -> int:
     return 1 if re.fullmatch("[A-Z2-7]+=*", s) and re.search("[2-7]", s) else 2
 
 
+@lru_cache(maxsize=1 << 16)
 def _binomial(n: int, p: float, least: int) -> float:
     """P(X >= least) of n draws."""
     return min(1.0, sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least, n + 1)))
@@ -65,10 +69,7 @@ def _normal(z: float) -> float:
 
 
 def text_odds(s: str) -> float:
-    """Combined p-value of `s` being written text: small for random strings. Strings over 400 characters are tested on evenly
-    spread blocks, which keeps the sums finite; the span stays whole."""
-    if len(s) > 400:
-        s = "".join(s[i * len(s) // 10 : i * len(s) // 10 + 40] for i in range(10))
+    """Combined p-value of `s` (WHOLE characters at most, which keeps the sums finite) being written text: small for random strings."""
     kind, s = encoding(s), s.rstrip("=")
     n = len(s)
     q = _DIGITS if kind == 0 else _TEXT / _TEXT.sum()
@@ -97,13 +98,23 @@ def stratum(s: str) -> int:
     return encoding(s) * 100 + min(99, int(math.log(len(s) / RUN, 1.5)))
 
 
+def windows(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The run itself, or windows of at most WINDOW characters that cover it, each overlapping the next by half of WINDOW."""
+    if end - start > WHOLE:
+        while end - start > WINDOW:
+            yield start, start + WINDOW
+            start += WINDOW // 2
+    yield start, end
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, bin of -log10 p) of the runs that no base span touches."""
+    """(start, end, stratum, bin of -log10 p) of the windows of the runs that no base span touches."""
     out = []
     for m in _RUN.finditer(text):
         if not any(a < m.end() and m.start() < b for a, b, _ in taken):
-            p = text_odds(m[0])
-            out.append((m.start(), m.end(), stratum(m[0]), min(MOST * STEPS, int(-math.log10(max(p, 1e-300)) * STEPS))))
+            for a, b in windows(m.start(), m.end()):
+                p = text_odds(text[a:b])
+                out.append((a, b, stratum(text[a:b]), min(MOST * STEPS, int(-math.log10(max(p, 1e-300)) * STEPS))))
     return out
 
 
@@ -140,12 +151,20 @@ def cutoffs(cand: DataFrame, false: float = FALSE) -> dict[int, int]:
     return out
 
 
+def _joined(cand: Column) -> Column:
+    """Candidates (by start) with those that overlap made one (start, end): windows of one run; runs never overlap."""
+    head = lambda c: F.filter(c, lambda x, i: F.coalesce(F.get(c, i - 1)["end"] <= x["start"], F.lit(True)))
+    tail = lambda c: F.filter(c, lambda x, i: F.coalesce(x["end"] <= F.get(c, i + 1)["start"], F.lit(True)))
+    both = lambda c: F.zip_with(head(c), tail(c), lambda x, y: F.struct(x["start"].alias("start"), y["end"].alias("end")))
+    return F.get(F.transform(F.array(cand), both), F.lit(0))  # bound to a name, so that it is worked out once
+
+
 def _spans(base: Column, cand: Column, cut: dict[int, int]) -> Column:
     named = F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("at"), x["end"].alias("end")))
     if not cut:
         return F.sort_array(named)
     least = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])
-    added = F.filter(cand, lambda c: F.coalesce(c["bin"] >= F.element_at(least, c["stratum"]), F.lit(False)))
+    added = _joined(F.filter(cand, lambda c: F.coalesce(c["bin"] >= F.element_at(least, c["stratum"]), F.lit(False))))
     return F.sort_array(F.concat(named, F.transform(added, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("at"), c["end"].alias("end")))))
 
 
