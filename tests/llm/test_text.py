@@ -63,6 +63,15 @@ def test_long_runs_are_read_whole(spark):
             assert added == ([] if r.doc_id == 6 else [(0, 1_600)])  # windows that overlap are one span
 
 
+def test_what_base_spans_leave_of_a_run_is_tested(spark):
+    rows = [(0, f"id AKIA{'Q7' * 8}/{RANDOM} end"), (1, f"id {'0123456789abcdef' * 2}_{RANDOM} end"), (2, f"id AKIA{'Q7' * 8}/short end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(r.text[s.start : s.end], s.at) for s in r.spans] for r in secrets.secret_spans(docs).collect()}
+    assert got[0] == [("AKIA" + "Q7" * 8, 1), ("/" + RANDOM, 3)] and got[1] == [("0123456789abcdef" * 2, 2), ("_" + RANDOM, 3)] and len(got[2]) == 1
+    assert all(RANDOM not in r.text for r in secrets.redacted(docs).collect())
+    assert list(secrets.pieces(0, 10, [(2, 4, 0), (3, 5, 1), (3, 4, 2), (8, 12, 0)])) == [(0, 2), (5, 8)]
+
+
 def test_false_discovery_cutoffs(spark):
     # 90 draws as chance gives them and ten far beyond: the ten are found
     rows = [(1, int(-np.log10((i + 0.5) / 90) * secrets.STEPS)) for i in range(90)] + [(1, 60)] * 10

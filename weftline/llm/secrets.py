@@ -107,12 +107,25 @@ def windows(start: int, end: int) -> Iterator[tuple[int, int]]:
     yield start, end
 
 
+def pieces(start: int, end: int, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the spans (by start) leave of start to end."""
+    for a, b, _ in taken:
+        if start < b and a < end:
+            if start < a:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, bin of -log10 p) of the windows of the runs that no base span touches."""
+    """(start, end, stratum, bin of -log10 p) of the windows of what base spans leave of the runs, in pieces of RUN or more."""
     out = []
     for m in _RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in taken):
-            for a, b in windows(m.start(), m.end()):
+        for start, end in pieces(m.start(), m.end(), taken):
+            if len(text[start:end].rstrip("=")) < RUN:
+                continue
+            for a, b in windows(start, end):
                 p = text_odds(text[a:b])
                 out.append((a, b, stratum(text[a:b]), min(MOST * STEPS, int(-math.log10(max(p, 1e-300)) * STEPS))))
     return out
