@@ -152,6 +152,20 @@ def test_languages(spark, messy, nothing):
     assert langid.predicted(nothing, trees).collect() == []
 
 
+def test_every_language_teaches(spark, monkeypatch):
+    long = "".join(f"{i} lorem ipsum é " for i in range(9_000))
+    rows = [(f"{x} {i}", x) for x in ("common", "frequent") for i in range(2_000)] + [(f"rare {i}", "rare") for i in range(30)] + [(long, "long")]
+    docs = spark.createDataFrame([*rows, *((f"word {i}", f"lang{i}") for i in range(1_100))], "text string, lang string")
+    got = langid.sample_texts(docs)
+    assert len(got) == 1_104 and len(got["rare"]) == langid.SAMPLES // 1_104 == len(got["common"])
+    assert len(got["long"]) == 1 and got["long"][0] in long and 10_000 < len(got["long"][0].encode()) <= langid.TAUGHT_BYTES
+    monkeypatch.setattr(langid, "SAMPLES", 30)
+    few = langid.sample_texts(docs.where("lang in ('common', 'frequent', 'rare')"))
+    assert {k: len(v) for k, v in few.items()} == {"common": 10, "frequent": 10, "rare": 10}
+    same = spark.createDataFrame([("one text", "same")] * 3_000 + [("other", "x")], "text string, lang string")
+    assert set(langid.sample_texts(same)) == {"same", "x"}
+
+
 def test_code_lengths_are_those_of_a_distribution():
     trees = langid.learned({"a": ["abracadabra abra"], "b": ["the cat sat"]})
     contexts = [b"abra", b"\0\0\0\0", b"zzzz", b"cada"]

@@ -8,20 +8,21 @@ language is exact. The trees of all languages are laid out as sorted arrays of n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import small_batches, table
 
-#: Bytes of context; documents sampled a language (expected) and at most in all; bytes of a sampled document's text.
+#: Bytes of context; documents sampled a language, and in all (languages share them evenly; each has one at least).
 ORDER, SAMPLE, SAMPLES = 4, 250, 8_000
 #: The model is bounded by the sample: at most this many bytes of text are learned from a language.
 SAMPLE_BYTES = 1_500_000
-#: Longer texts don't teach (they are judged whole all the same).
+#: Longer texts teach from a piece of at most so many bytes (they are judged whole all the same).
 TAUGHT_BYTES = 50_000
 UNKNOWN = "und"
 #: Bits a byte that a document must stay under to be kept: plain bytes cost 8.
@@ -113,16 +114,26 @@ def remainder(id_col: str = "doc_id") -> Column:
 
 
 def sample_texts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_by: Column | None = None, each: int = SAMPLE) -> dict[str, list[str]]:
-    """Texts by language: about `each` documents a language, SAMPLES in all at most, by a hash; whole texts, up to SAMPLE_BYTES a language."""
+    """Texts by language: those of least luck (a hash), `each` a language or an even share of SAMPLES, one at least; every
+    language has some. Up to SAMPLE_BYTES a language; of texts over TAUGHT_BYTES a piece at a place that the luck picks."""
     luck = F.pmod(F.xxhash64(text_col), F.lit(2**40)) if order_by is None else order_by
-    counts = {r[0]: r[1] for r in docs.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(1000).collect() if r[0] is not None}
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), luck.alias("luck")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("luck").alias("least")).collect()}
     if not counts:
         return {}
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, float(2**40) * min(1.0, each / n))])
-    drawn = docs.where(F.octet_length(text_col) <= TAUGHT_BYTES).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), luck.alias("luck")).where(F.col("luck") < limit[F.col("lang")])
+    take = max(1, min(each, SAMPLES // len(counts)))
+    # only rows that can be among the first are ranked: six deviations more than are taken, and the first in any case
+    drawn = take + 6 * math.sqrt(take) + 12
+    limit = [F.lit(x) for k, r in counts.items() if r.n > drawn for x in (k, max(2.0**40 * drawn / r.n, r.least + 1.0))]
+    if limit:
+        rows = rows.where(F.col("luck") < F.coalesce(F.create_map(*limit)[F.col("lang")], F.lit(2.0**40)))
+    chars = TAUGHT_BYTES // 4
+    piece = F.substring("text", (F.col("luck") % (F.length("text") - chars + 1) + 1).cast("int"), F.lit(chars))
+    rows = rows.withColumn("text", F.when((F.octet_length("text") > TAUGHT_BYTES) & (F.length("text") > chars), piece).otherwise(F.col("text")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("luck", "text"))).where(F.col("rank") <= take)
     out: dict[str, list[str]] = {}
     room = dict.fromkeys(counts, SAMPLE_BYTES)
-    for r in drawn.orderBy("luck", "lang").limit(min(SAMPLES, 2 * each * len(counts))).toLocalIterator():
+    for r in ranked.select("lang", "text").toLocalIterator():
         if (n := len(r.text.encode("utf-8", "surrogatepass"))) <= room[r.lang]:
             room[r.lang] -= n
             out.setdefault(r.lang, []).append(r.text)
