@@ -6,9 +6,11 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +50,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, for operators that send whole texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the rows of an Arrow batch, for operators that send whole texts to Python. Their frames run later, under the
+    session's settings of that time, so the bound stays; a lower one is left alone."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: object) -> Iterator[None]:
+    """Session settings (dots as two underscores) for operators that write their result before they return."""
+    names = {k.replace("__", "."): str(v) for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def records(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows at most; a piece's lists begin at offset 0."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) if b.num_rows <= rows else c.take(pa.array(np.arange(at, min(at + rows, b.num_rows)))) for c in b.columns], names=b.schema.names)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

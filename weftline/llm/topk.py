@@ -16,27 +16,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, small_batches, table
+from .shared import cut, settings, table
 
 TOP, EVERY = 5, 50
 #: Vectors in a packed block of candidates and of queries, and bins of a histogram.
 CANDIDATES, QUERIES, BINS = 4096, 1024, 512
-#: Scores beyond are held here (256 * x of unit vectors stays below 2**17).
-HELD = 2**61
+#: The largest long. A score that no long can hold is held here (256 * x of unit vectors stays below 2**17).
+HELD = 2**63 - 1
+
+
+def sound(id_col: str, vec_col: str) -> Column:
+    """Whether a row takes part: neither id nor vector is null, and no component is null or not finite."""
+    v = F.col(vec_col)
+    return F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
 
 
 def finite_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, v array<double>), one row an id: rows whose id or vector is null or whose vector holds a null or non-finite
     component are left out; of rows with one id (repeats) the least vector counts."""
-    v = F.col(vec_col).cast("array<double>")
-    good = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    return vectors.where(good).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v).alias("v"))
+    good = vectors.where(sound(id_col, vec_col))
+    return good.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(vec_col).cast("array<double>")).alias("v"))
 
 
 def packed(rows: DataFrame, keys: list[str], fields: list[str], prefix: str) -> DataFrame:
-    """One row a key: each field as an array, in one order; vectors `v` are laid end to end. Callers bound the rows of a key."""
+    """One row a key: each field as an array, in one order; vectors `v` and probes `p` are laid end to end. Callers bound the
+    rows of a key."""
     got = rows.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("_p"))
-    return got.select(*keys, *(F.flatten(F.col("_p.v")).alias(f"{prefix}v") if f == "v" else F.col(f"_p.{f}").alias(f"{prefix}{f}") for f in fields))
+    return got.select(*keys, *(F.flatten(F.col(f"_p.{f}")).alias(f"{prefix}{f}") if f in ("v", "p") else F.col(f"_p.{f}").alias(f"{prefix}{f}") for f in fields))
 
 
 def blocks_of(n: int, size: int) -> int:
@@ -76,11 +82,12 @@ def _histograms(width: int, bins: int):
         for qid, lo, left, _, s, other in _pairs(batches):
             ids, at, n = [], [], []
             for i in range(len(qid)):
-                x = (s[i][other[i]] - lo[i]) // width
-                v, c = np.unique(x[(x >= 0) & (x < bins)], return_counts=True)
+                x = s[i][other[i] & (s[i] >= lo[i])]
+                x = (x.view(np.uint64) - lo[i : i + 1].view(np.uint64)) // np.uint64(width)  # of unsigned longs, which hold any difference
+                v, c = np.unique(x[x < bins], return_counts=True)
                 # bins under the one of this block's own k-th value can't hold the k-th of all
                 keep = max(0, len(v) - 1 - int(np.searchsorted(np.cumsum(c[::-1]), left[i])))
-                ids.append(np.full(len(v) - keep, qid[i])), at.append(v[keep:]), n.append(c[keep:])
+                ids.append(np.full(len(v) - keep, qid[i])), at.append(v[keep:].astype(np.int64)), n.append(c[keep:])
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, at, n)], names=["id", "bin", "n"])
 
@@ -106,13 +113,16 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFra
     own id is no candidate; vectors of another dimension aren't either. Ties go to the smaller id. Fewer candidates than k:
     all of them. No queries or no candidates: no rows.
     """
-    spark = vectors.sparkSession
-    small_batches(spark, 4)
+    with settings(vectors.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=4):
+        return _exact_top_k(vectors, queries, k)
+
+
+def _exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n, norm = vectors.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     nq = queries.count()
     nc, nb = blocks_of(n, CANDIDATES), blocks_of(nq, QUERIES)
     cand = cut(packed(vectors.withColumn("cb", block(nc)).withColumn("dim", F.size("v")), ["cb", "dim"], ["id", "v"], "c"))
-    span = int(min(norm or 0, HELD)) + 2
+    span = int(min((norm or 0) * (1 + 1e-9) + 2, HELD))  # no score is beyond the largest square of a norm
     most = 2 * span + 1
     width = max(1, BINS ** max(0, math.ceil(math.log(most, BINS)) - 1))
     while width * BINS < most:
@@ -130,7 +140,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFra
         counts = counts.withColumn("upto", F.sum("n").over(down)).join(state, "id").where(F.col("upto") - F.col("n") < F.col("left"))
         # of the bins from the top down, the last that is not past the k-th value (the lowest of all, if there are fewer)
         at = counts.groupBy("id").agg(F.min("bin").alias("bin"), F.max("upto").alias("upto"), F.min_by("n", "bin").alias("n"))
-        state = cut(state.join(at, "id").select("id", (F.col("lo") + F.col("bin") * width).alias("lo"), (F.col("left") - F.col("upto") + F.col("n")).alias("left")))
+        state = cut(state.join(at, "id").select("id", (F.col("lo").cast("decimal(20,0)") + F.col("bin").cast("decimal(20,0)") * F.lit(str(width)).cast("decimal(20,0)")).cast("long").alias("lo"), (F.col("left") - F.col("upto") + F.col("n")).alias("left")))
         if width == 1:
             break
         width = max(1, math.ceil(width / BINS))
