@@ -64,10 +64,38 @@ def test_top_k_is_exact(spark, tmp_path, vectors):
     assert 950 not in got  # alone in its dimension
 
 
+def test_settings_are_as_before(spark, vectors):
+    before = [spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")]
+    some = finite_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors[:60])], "vec_id long, embedding array<float>"))
+    exact_top_k(some, some), nearest(some, some)
+    assert before == [spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")]
+
+
+def test_a_bucket_of_several_blocks_is_searched_whole(spark, monkeypatch):
+    from weftline.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    monkeypatch.setattr(ann, "ASKED", 7)
+    rng = np.random.default_rng(1)
+    x = np.vstack([np.tile(rng.normal(size=16), (200, 1)), rng.normal(size=(100, 16))])
+    vecs = finite_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = nearest(vecs, vecs.where("id < 200")).collect()
+    for q in (0, 3, 199):
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [v for v in range(6) if v != q][:5]
+
+
 def test_few_and_none(spark):
     schema = "vec_id long, embedding array<double>"
     few = finite_vectors(spark.createDataFrame([(0, [3.0, 4.0]), (1, [1.0, 0.0]), (50, [0.0, 2.0**40])], schema))
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in exact_top_k(few, few.where("id = 0")).orderBy("rank").collect()] == [(0, 1, 50, 4 * 2**40), (0, 2, 1, 3)]
     assert [(r.rank, r.vec_id, r.score) for r in nearest(few, few.where("id = 0")).orderBy("rank").collect()] == [(1, 50, pytest.approx(0.8)), (2, 1, pytest.approx(0.6))]
+    # four vectors of 64 dimensions share few buckets: each still finds the other three
+    rng = np.random.default_rng(0)
+    four = finite_vectors(spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(4)], schema))
+    assert sorted((r.query_id, r.vec_id) for r in nearest(four, four).collect()) == [(i, j) for i in range(4) for j in range(4) if i != j]
+    # scores up to the ends of a long keep their order; what no long holds is held at its end
+    wide = finite_vectors(spark.createDataFrame([(0, [2.0**31, 0.0]), (1, [2.0**31, 1.0]), (2, [2.0**31 - 1, 0.0]), (3, [2.0**40, 0.0]), (4, [-(2.0**40), 0.0])], schema))
+    got = exact_top_k(wide, wide.where("id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, 2**63 - 1), (1, 2**62), (2, 2**62 - 2**31), (4, -(2**63) + 1)]
     none = finite_vectors(spark.createDataFrame([], schema))
     assert exact_top_k(none, none).collect() == [] and nearest(none, none).collect() == []
