@@ -9,7 +9,9 @@ end to end. If two chunks never meet, the rest of that text is one part. Texts o
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import cut, small_batches, table
 
 #: Characters of a chunk, and by how many it runs into the next.
-CHUNK, OVERLAP = 65_536, 1_024
+CHUNK, OVERLAP = 16_384, 512
 #: How far beyond a boundary the pattern may look; boundaries nearer to a chunk's end are not used.
 AHEAD = 4
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -60,8 +62,17 @@ def _encoder(vocab: Broadcast) -> Callable[[Column], Column]:
     return encode
 
 
+@lru_cache(maxsize=1 << 16)
+def settled(c: str) -> bool:
+    """Whether the kind of a character (letter, number, space or other) has been the same since Unicode 3.2, so that libraries
+    of different ages agree on it."""
+    old, new = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+    return old != "Cn" and all((old[0] == x) == (new[0] == x) for x in "LNZC")
+
+
 def _boundaries(vocab: Broadcast, overlap: int) -> Callable[[Column], Column]:
-    """Of a chunk, the boundaries within its first `overlap` characters and within its last; only those between ASCII characters."""
+    """Of a chunk, the boundaries within its first `overlap` characters and within its last; only those among settled characters,
+    three before and one after (so far a contraction reaches)."""
 
     @F.arrow_udf("array<int>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -70,7 +81,7 @@ def _boundaries(vocab: Broadcast, overlap: int) -> Callable[[Column], Column]:
             out = []
             for t in texts.to_pylist():
                 at = (m.start() for m in pattern.finditer(t))
-                out.append(np.array([p for p in at if (p <= overlap or p >= len(t) - overlap) and 0 < p <= len(t) - AHEAD and t[p - 1].isascii() and t[p].isascii()], dtype=np.int32))
+                out.append(np.array([p for p in at if (p <= overlap or p >= len(t) - overlap) and 0 < p <= len(t) - AHEAD and all(map(settled, t[max(0, p - 3) : p + 1]))], dtype=np.int32))
             yield _lists(out, np.int32)
 
     return found
