@@ -3,7 +3,8 @@
 For each language a context tree of up to ORDER bytes is counted on a bounded sample and then frozen. A byte's probability is
 its share under the longest context (method C); a byte never seen there costs an escape, and the next shorter context is
 asked with the bytes of the longer one excluded, down to equal odds for all 256 bytes. So the code length of a text under a
-language is exact. The trees of all languages are laid out as sorted arrays of n-grams with a cost for each language.
+language is exact. The trees of a few languages together are laid out as sorted arrays of n-grams with a cost for each of them, so
+that the model grows with the sample, not with the square of the languages.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from .shared import small_batches, table
 
 #: Bytes of context; documents sampled a language, and in all (languages share them evenly; each has one at least).
 ORDER, SAMPLE, SAMPLES = 4, 250, 8_000
-#: The model is bounded by the sample: at most this many bytes of text are learned from a language.
-SAMPLE_BYTES = 1_500_000
+#: The model is bounded by the sample: at most this many bytes of text are learned from a language, and from all together
+#: (shared evenly; a language's first text is learned in any case).
+SAMPLE_BYTES, ALL_BYTES = 1_500_000, 12_000_000
+#: Languages whose trees are laid out together.
+TOGETHER = 8
 #: Longer texts teach from a piece of at most so many bytes (they are judged whole all the same).
 TAUGHT_BYTES = 50_000
 UNKNOWN = "und"
@@ -109,13 +113,20 @@ def learned(texts: dict[str, list[str]]) -> Trees:
     return trees
 
 
+def forest(texts: dict[str, list[str]]) -> list[Trees]:
+    """The trees of all languages, TOGETHER at a time in order of their names."""
+    langs = sorted(texts)
+    return [learned({k: texts[k] for k in langs[i : i + TOGETHER]}) for i in range(0, len(langs), TOGETHER)]
+
+
 def remainder(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
 def sample_texts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_by: Column | None = None, each: int = SAMPLE) -> dict[str, list[str]]:
     """Texts by language: those of least luck (a hash), `each` a language or an even share of SAMPLES, one at least; every
-    language has some. Up to SAMPLE_BYTES a language; of texts over TAUGHT_BYTES a piece at a place that the luck picks."""
+    language has some. Up to SAMPLE_BYTES a language or an even share of ALL_BYTES; of texts over TAUGHT_BYTES a piece at a
+    place that the luck picks."""
     luck = F.pmod(F.xxhash64(text_col), F.lit(2**40)) if order_by is None else order_by
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), luck.alias("luck")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("luck").alias("least")).collect()}
@@ -132,54 +143,60 @@ def sample_texts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     rows = rows.withColumn("text", F.when((F.octet_length("text") > TAUGHT_BYTES) & (F.length("text") > chars), piece).otherwise(F.col("text")))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("luck", "text"))).where(F.col("rank") <= take)
     out: dict[str, list[str]] = {}
-    room = dict.fromkeys(counts, SAMPLE_BYTES)
+    room = dict.fromkeys(counts, min(SAMPLE_BYTES, ALL_BYTES // len(counts)))
     for r in ranked.select("lang", "text").toLocalIterator():
-        if (n := len(r.text.encode("utf-8", "surrogatepass"))) <= room[r.lang]:
+        if (n := len(r.text.encode("utf-8", "surrogatepass"))) <= room[r.lang] or r.lang not in out:
             room[r.lang] -= n
             out.setdefault(r.lang, []).append(r.text)
     return out
 
 
-def predicted(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
+def predicted(docs: DataFrame, trees: list[Trees], text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and bits_per_byte (replacing columns so named).
 
     Null text and text without a letter, and any text where no language was learned, is `und` with score 0 and no bits. Else
     the language of least code length wins (ties: the first by name); score is its share of the odds 2 ** -(bits a byte).
     """
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast((trees.langs, trees.keys, trees.costs, trees.contexts, trees.escapes))  # bounded by the sample
+    model = docs.sparkSession.sparkContext.broadcast([vars(x) for x in trees])  # bounded by the sample
     schema = "struct<lang_pred: string, score: double, bits_per_byte: double>"
 
     @F.pandas_udf(schema)
     def judge(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Trees(model.value[0])
-        own.keys, own.costs, own.contexts, own.escapes = model.value[1:]
+        own = []
+        for x in model.value:
+            own.append(Trees([]))
+            vars(own[-1]).update(x)
+        langs = np.array([x for t in own for x in t.langs], dtype=object)
         for texts in series:
             lang, score, rate = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts)), np.full(len(texts), np.nan)
-            use = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))] if own.langs else []
+            use = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))] if len(langs) else []
             for part in (use[i : i + 32] for i in range(0, len(use), 32)):
                 w, ends = _windows([folded(texts.iloc[i]) for i in part])
-                total = np.zeros((len(part), len(own.langs)))
+                total = np.zeros((len(part), len(langs)))
                 for a in range(0, len(w), 1 << 18):
-                    costs = own.bits(w[a : a + (1 << 18)])
-                    doc = np.searchsorted(ends, np.arange(a, a + len(costs)), side="right") - 1
-                    for j in range(len(own.langs)):
-                        total[:, j] += np.bincount(doc, costs[:, j], len(part))
+                    doc = np.searchsorted(ends, np.arange(a, min(len(w), a + (1 << 18))), side="right") - 1
+                    j = 0
+                    for t in own:
+                        for costs in t.bits(w[a : a + (1 << 18)]).T:
+                            total[:, j] += np.bincount(doc, costs, len(part))
+                            j += 1
                 total /= np.diff(ends)[:, None]
                 best = total.argmin(axis=1)
-                lang[part] = np.array(own.langs, dtype=object)[best]
+                lang[part] = langs[best]
                 least = total[np.arange(len(part)), best]
                 score[part] = 1 / (2.0 ** -(total - least[:, None])).sum(axis=1)
                 rate[part] = least
             yield pd.DataFrame({"lang_pred": lang, "score": score, "bits_per_byte": rate})
 
-    got = docs.drop("lang_pred", "score", "bits_per_byte").withColumn("_judged", judge(F.col(text_col)))
+    # marked so that a filter on the outcome doesn't judge each text a second time
+    got = docs.drop("lang_pred", "score", "bits_per_byte").withColumn("_judged", judge.asNondeterministic()(F.col(text_col)))
     return got.select("*", "_judged.*").drop("_judged").withColumn("bits_per_byte", F.nanvl("bits_per_byte", F.lit(None).cast("double")))
 
 
-def trained(docs: DataFrame) -> Trees:
+def trained(docs: DataFrame) -> list[Trees]:
     """Trees learned from documents with a language whose remainder isn't 2 (documents without an id don't teach)."""
-    return learned(sample_texts(docs.where((remainder() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()), order_by=F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(2**40))))
+    return forest(sample_texts(docs.where((remainder() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()), order_by=F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(2**40))))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
