@@ -17,12 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import word_hashes
-from .shared import BATCH_ROWS, cut, small_batches, table
+from .shared import cut, small_batches, table
 
 #: Labelled documents that the classifier is fitted to at most, hashed features, passes of the fit, its step and penalty.
 SAMPLE, FEATURES, PASSES, STEP, PENALTY = 6_000, 1 << 14, 150, 1.0, 1e-3
-#: Bytes of text of one sampled document at most; longer ones don't teach, but are judged whole.
-SAMPLE_BYTES = 20_000
 #: How far a group's log odds count beside the document's own evidence.
 TRUST = 0.5
 #: Posterior under which a document is turned away.
@@ -44,13 +42,12 @@ def _features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield np.concatenate([f, FEATURES + np.arange(5)]), np.concatenate([value, dense])
 
 
-def fitted(texts: list[str], labels: list[int]) -> np.ndarray:
-    """Weights of a logistic model by full-batch gradient steps scaled per feature; zeros if one of the classes is missing."""
+def fitted(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> np.ndarray:
+    """Of documents' features and labels, weights of a logistic model by full-batch gradient steps scaled per feature; zeros if one of the classes is missing."""
     w = np.zeros(FEATURES + 5)
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return w
-    rows = [x for i in range(0, len(texts), BATCH_ROWS) for x in _features(texts[i : i + BATCH_ROWS])]  # hashing takes some 40 bytes a byte of text at once
     f = np.concatenate([a for a, _ in rows])
     v = np.concatenate([b for _, b in rows])
     r = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
@@ -96,14 +93,16 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return float(min(1e6, max(1.0, noise / max(1, groups.count()) / between)))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", host_col: str = "host", path_col: str = "path") -> DataFrame:
+def judged(docs: DataFrame, host_col: str = "host", path_col: str = "path", evidence_col: str = "evidence") -> DataFrame:
     """docs (with evidence, host and path) with host_rate, path_rate and quality, the posterior of being good.
 
-    Null hosts or paths form groups of their own (as ''). One global prior is the mean of the documents' own odds; without
-    documents there are no rows.
+    Columns of those three names are replaced, others are kept. Null hosts or paths form groups of their own (as ''), null
+    evidence counts as none (log odds 0). One global prior is the mean of the documents' own odds; without documents there
+    are no rows.
     """
-    docs = docs.withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))).withColumn("_host", F.coalesce(F.col(host_col), F.lit(""))).withColumn("_path", F.coalesce(F.col(path_col), F.lit("")))
-    paths = cut(_rates(docs, ["_host", "_path"]))
+    own = F.coalesce(F.col(evidence_col), F.lit(0.0))
+    named = docs.select(F.struct(*docs.drop("host_rate", "path_rate", "quality").columns).alias("_doc"), own.alias("e"), F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.coalesce(F.col(path_col), F.lit("")).alias("_path"))
+    paths = cut(_rates(named.select("_host", "_path", (1 / (1 + F.exp(-F.col("e")))).alias("p")), ["_host", "_path"]))
     good, total = paths.agg(F.sum("good"), F.sum("n")).first()
     rate = min(1 - 1e-3, max(1e-3, (good or 0.0) / (total or 1)))
     hosts = paths.groupBy("_host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
@@ -114,8 +113,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", host_col: str = "host", path
     groups = paths.select("_host", "_path", "host_rate", ((F.col("good") + sp * F.col("host_rate")) / (F.col("n") + sp)).alias("path_rate"))
     shift = TRUST * (_logit(F.col("path_rate")) - float(np.log(rate / (1 - rate))))
     # groups are joined to documents by adaptive execution, which splits what a hot host holds
-    out = docs.join(groups, ["_host", "_path"])
-    return out.withColumn("quality", 1 / (1 + F.exp(-(F.col("evidence") + shift)))).drop("p", "_host", "_path")
+    out = named.join(groups, ["_host", "_path"])
+    return out.select("_doc.*", "host_rate", "path_rate", (1 / (1 + F.exp(-(F.col("e") + shift)))).alias("quality"))
 
 
 def site_of(source: Column, lang: Column) -> tuple[Column, Column]:
@@ -123,14 +122,23 @@ def site_of(source: Column, lang: Column) -> tuple[Column, Column]:
     return source.alias("host"), F.concat_ws("/", source, lang).alias("path")
 
 
+def _taught(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        f, v = zip(*_features(pdf["text"].tolist())) if len(pdf) else ((), ())
+        yield pd.DataFrame({"luck": pdf["luck"], "y": pdf["y"], "f": list(f), "v": list(v)})
+
+
 def trained(docs: DataFrame, labels: DataFrame, label_col: str = "quality", each: int = SAMPLE) -> np.ndarray:
-    """Weights from `each` labelled documents at most, drawn by a hash of the id; labels other than 0 and 1 don't teach."""
-    labels = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("y"), F.xxhash64("doc_id", F.lit(5)).alias("luck"))
+    """Weights from `each` labelled documents at most, drawn by a hash of the id; labels other than 0 and 1 don't teach. A
+    document of two labels teaches both; of rows that share an id one teaches (that of the least hash). Whole texts teach:
+    their features are made by the executors, and the driver gets FEATURES numbers a document at most."""
+    small_batches(docs.sparkSession)
+    labels = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("y"), F.xxhash64("doc_id", F.lit(5)).alias("luck")).distinct()
     drawn = labels.orderBy("luck", "doc_id", "y").limit(each)
-    texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text")
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("luck", "y", "text")  # `each` small rows are broadcast
-    got = sorted((r.luck, r.y, r.text) for r in rows.take(each))
-    return fitted([r[2] for r in got], [r[1] for r in got])
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # `each` small rows are broadcast
+    rows = rows.groupBy("luck", "doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("luck", "y", "text")
+    got = rows.mapInPandas(_taught, "luck long, y int, f array<long>, v array<double>").toPandas().sort_values(["luck", "y"])
+    return fitted(list(zip(got["f"], got["v"])), got["y"].tolist())
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
