@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import tasks
 from weftline.plans import inputs
-from weftline.plans.compiler import run
+from weftline.plans.compiler import run, task_options
 from weftline.plans.parser import SyntaxFault, parse
 from weftline.types import TypeMismatch
 
@@ -59,7 +59,7 @@ def test_a_scatter_needs_no_shuffle(spark):
     "source",
     [
         "workflow w { Int a = b  Int b = a }", "workflow w { Int a = 1  Int a = 2 }", "workflow w { call w }", "workflow w { call other }", "workflow w { Int a = \"x\" }", "workflow w { scatter (x in 1) { Int y = x } }",
-        "workflow w { input { Int x } output { Int y = x } }", "workflow w { if (true) { Int a = 1 } output { Int b = a } }", "task t { command <<< >>> } workflow w { scatter (x in [1]) { call t } }",
+        "workflow w { input { Int x } output { Int y = x } }", "workflow w { if (true) { Int a = 1 } output { Int b = a } }", "task t { command <<< >>> } workflow w { scatter (x in [1]) { scatter (y in [1]) { call t } } }",
     ],
 )
 def test_refused(spark, source):
@@ -105,3 +105,124 @@ def test_retry_and_codes(spark):
         tasks.run_tasks(rows, F.col("s")).collect()
     with pytest.raises(ValueError):
         tasks.command(F.col("s"), max_retries=101)
+
+
+FILES = """
+version 1.3
+import "lib/steps.wdl" as steps alias Named as Item
+task make {
+  input { env String who  Int n = 2  File? given }
+  Array[File] parts = [write_lines(["x", who])]
+  command <<<
+    for i in $(seq 1 ~{n}); do printf "$who $i" > part_$i.txt; done
+    mkdir -p sub; printf '%s' "~{task.name} ~{task.attempt} ~{task.memory}" > sub/about.txt
+    ~{if defined(given) then "cat ~{given} > copied" else ""}
+    cat ~{sep=" " parts} ~{write_map({"a": "b"})} > lines
+  >>>
+  output {
+    Array[File] parts_made = glob("part_*.txt")
+    String about = read_string("sub/about.txt")
+    File? missing = "nothing.txt"
+    File? copied = "copied"
+    Float bytes = size("part_1.txt")
+    Array[String] names = [basename(parts_made[0]), basename("sub/about.txt")]
+    Array[String] lines = read_lines("lines")
+    Int code = task.return_code
+  }
+  requirements { memory: "1 GiB"  return_codes: [0, 3] }
+  hints { max_cpu: 4  inputs: input { who: hints { short: true } } }
+}
+workflow main {
+  input { Array[String] names  File? given }
+  scatter (name in names) {
+    String loud = name + "!"
+    call make { who = loud, given }
+    call steps.count as counted { files = make.parts_made }
+    Int twice = counted.n * 2
+    Item item = Item { label: "~{make.about}" }
+  }
+  if (length(names) > 5) { call make as never { who = "never", n = 0 } }
+  output {
+    Array[Array[File]] parts = make.parts_made  Array[String] abouts = make.about  Array[File?] missing = make.missing  Array[Float] bytes = make.bytes
+    Array[Array[String]] bases = make.names  Array[Int] ns = counted.n  Array[Int] doubled = twice  Array[Item] items = item  Array[File?] copies = make.copied
+    Array[Array[String]] lines = make.lines  String? none = never.about  Array[Int] codes = make.code
+  }
+}"""
+STEPS = """
+version 1.3
+struct Named { String label }
+task count { input { Array[File] files } command <<< cat ~{sep=" " files} | wc -w >>> output { Int n = read_int(stdout()) } }
+"""
+
+
+def test_files_and_tasks_in_a_scatter(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"], "the text"), (2, [], None)], "id int, names array<string>, given string")
+    a, b = run(rows, FILES, "main", keep=["id"], imports={"lib/steps.wdl": STEPS}).orderBy("id").collect()
+    assert a.parts == [["a! 1", "a! 2"], ["b! 1", "b! 2"]] and a.abouts == [f"make 0 {2**30}"] * 2 and a.missing == [None, None] and a.bytes == [4.0, 4.0]
+    assert a.bases == [["part_1.txt", "about.txt"]] * 2 and a.ns == [3, 3] and a.doubled == [6, 6] and [x.label for x in a["items"]] == a.abouts
+    assert a.copies == ["the text"] * 2 and a.lines == [["x", "a!", "a\tb"], ["x", "b!", "a\tb"]] and a.none is None and a.codes == [0, 0]
+    assert b.parts == [] and b.ns == [] and b.none is None
+    doc = parse(FILES, {"lib/steps.wdl": STEPS})
+    needs, hints = task_options(doc.units["make"])
+    assert needs["memory"] == "1 GiB" and needs["cpu"] == 1.0 and needs["return_codes"] == [0, 3] and hints["max_cpu"] == 4 and hints["inputs"] == {"who": {"short": True}} and hints["preemptible"] == 0
+
+
+def test_retries_see_the_attempt_and_what_came_before(spark):
+    source = """
+    task t {
+      input { Int most }
+      command <<<
+        echo "~{task.attempt} ~{task.memory} ~{task.previous.memory}"
+        exit $((2 - ~{task.attempt}))
+      >>>
+      output { String said = read_string(stdout())  Int attempt = task.attempt }
+      requirements { max_retries: most + 1  memory: if task.attempt == 0 then "1 GiB" else "~{select_first([task.previous.memory]) * 2}" }
+    }
+    workflow w { input { Int most } call t { most } output { String said = t.said  Int attempt = t.attempt } }"""
+    rows = spark.createDataFrame([(1,), (5,)], "most bigint")
+    assert [tuple(r) for r in run(rows, source, "w").collect()] == [(f"2 {4 * 2**30} {2 * 2**30}", 2)] * 2
+    with pytest.raises(Exception, match="task t failed"):
+        run(spark.createDataFrame([(0,)], "most bigint"), source, "w").collect()
+
+
+def test_a_task_behind_a_false_condition_is_not_run(spark, tmp_path):
+    mark = tmp_path / "ran"
+    source = f"""
+    task t {{ input {{ String s }} command <<< echo ~{{s}} >> {mark} >>> output {{ String o = "~{{s}}!" }} }}
+    workflow w {{ input {{ Boolean go }} if (go) {{ call t {{ s = "yes" }} }} else {{ call t as u {{ s = "no" }} }} output {{ String? a = t.o  String? b = u.o }} }}"""
+    rows = spark.createDataFrame([(True,), (True,)], "go boolean")
+    assert [tuple(r) for r in run(rows, source, "w").collect()] == [("yes!", None)] * 2
+    assert set(mark.read_text().split()) == {"yes"}
+
+
+def test_paths_without_content_are_refused(spark):
+    with pytest.raises(Exception, match="no content is at hand for the file f.txt"):
+        run(spark.range(1), 'workflow w { output { String s = read_string("f.txt") } }', "w").collect()
+    with pytest.raises(Exception, match="the task made no file f.txt"):
+        run(spark.range(1), 'task t { command <<< true >>> output { File f = "f.txt" } } workflow w { call t output { File f = t.f } }', "w").collect()
+    with pytest.raises(TypeMismatch):
+        run(spark.range(1), 'workflow w { output { Array[File] f = glob("*") } }', "w")
+
+
+def test_texts_of_several_lines(spark):
+    source = '''workflow w { input { String x } output { String a = <<<
+
+    this is ~{x}
+
+      more \\
+         joined \\t|\\>\\>\\>
+    >>>  String b = <<< one >>> } }'''
+    assert tuple(run(spark.createDataFrame([("it",)], "x string"), source).first()) == ("\nthis is it\n\n  more joined \t|>>>", "one")
+
+
+@pytest.mark.parametrize("source", ['import "no.wdl" workflow w { }', 'import "me.wdl" workflow w { }'])
+def test_imports_that_fail(source):
+    with pytest.raises(SyntaxFault):
+        parse(source, {"me.wdl": source})
+
+
+def test_memory_amounts(spark):
+    got = spark.createDataFrame([("1",), ("4 GiB",), ("0.5K",), ("2MB",)], "m string").select(tasks.memory_bytes(F.col("m")).alias("b")).collect()
+    assert [r.b for r in got] == [1, 4 * 2**30, 500, 2_000_000]
+    with pytest.raises(Exception, match="no amount of memory"):
+        spark.range(1).select(tasks.memory_bytes(F.lit("4 parrots"))).collect()

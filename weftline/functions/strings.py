@@ -40,8 +40,12 @@ def sub(text: Column, pattern: Column | str, replacement: Column | str) -> Colum
 
 
 def split(text: Column, pattern: Column | str) -> Column:
-    """Parts between matches; empty parts at the end stay."""
-    return F.split(text, _lit(pattern), -1)
+    """Parts between matches; empty parts at the end stay. An empty pattern matches between all characters and at both ends."""
+    p, none = _lit(pattern), F.lit("")
+    every = F.when(text == "", F.array(none, none)).otherwise(F.concat(F.array(none), F.split(text, F.lit(""), -1), F.array(none)))
+    if isinstance(pattern, str):
+        return F.when(text.isNotNull(), every) if pattern == "" else F.split(text, p, -1)
+    return F.when(p == "", F.when(text.isNotNull(), every)).otherwise(F.split(text, p, -1))
 
 
 def basename(path: Column, ending: Column | str | None = None) -> Column:

@@ -1,17 +1,41 @@
-"""Contents of text, tab-separated and JSON files, to values and back. A file is its content here; see `sources` for paths."""
+"""Contents of text, tab-separated and JSON files, to values and back; Files that carry their content. See `sources` for paths."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import require
+from ..types import MARK, file_name, require
 
 #: Bytes of a unit of size (decimal, then binary units).
 UNITS = {"B": 1} | {x: 1000**k for k, u in enumerate("KMGT", 1) for x in (u, f"{u}B")} | {x: 1024**k for k, u in enumerate("KMGT", 1) for x in (f"{u}i", f"{u}iB")}
 _NAME = r"^[A-Za-z][A-Za-z0-9_]*$"
 
 
+def held(name: Column, content: Column) -> Column:
+    """A File that carries its content."""
+    return F.concat(name, F.lit(MARK), content)
+
+
+def is_held(file: Column) -> Column:
+    return F.contains(file, F.lit(MARK))
+
+
+def file_content(file: Column) -> Column:
+    """What a File holds; null for null. A path whose content isn't at hand fails."""
+    got = F.substring(file, F.length(file_name(file)) + 2, F.length(file))
+    return F.when(file.isNotNull(), require(is_held(file), got, F.concat(F.lit("no content is at hand for the file "), file, F.lit(": read it with sources.held_files"))))
+
+
+def glob_pattern(glob: Column) -> Column:
+    """A glob as a regular expression over relative paths: `*` and `?` stay within a segment, `**/` crosses segments."""
+    plain = F.regexp_replace(glob, F.lit(r"([.^$+{}()|\\])"), F.lit(r"\\$1"))
+    out = F.regexp_replace(plain, F.lit(r"\[!"), F.lit("[^"))
+    out = F.regexp_replace(F.regexp_replace(out, F.lit(r"\*\*/"), F.lit("\1")), F.lit(r"\*+"), F.lit("[^/]*"))
+    out = F.regexp_replace(F.regexp_replace(out, F.lit(r"\?"), F.lit("[^/]")), F.lit("\1"), F.lit("(?:[^/]+/)*"))
+    return F.concat(F.lit("^"), out, F.lit("$"))
+
+
 def sized(n: Column, unit: str = "B") -> Column:
     """Bytes as a Float in the unit; null counts as 0."""
     if unit not in UNITS:
@@ -120,5 +144,6 @@ def format_object(o: Column) -> Column:
 
 
 def format_json(value: Column) -> Column:
-    """JSON text; members that are null are written. Maps, arrays and structs only (Spark's to_json), or a variant."""
-    return F.to_json(value, {"ignoreNullFields": "false"})
+    """JSON text of a value of any kind; members that are null are written."""
+    listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)

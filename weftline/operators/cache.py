@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ledger import latest_by
+
 #: Bytes at a file's beginning that the middling digest reads.
 PREFIX_BYTES = 10 * 2**20
 
@@ -30,9 +32,11 @@ def misses(calls: DataFrame, entries: DataFrame, key: str = "key", parts: tuple[
     return calls.join(entries, [key, *parts], "left_anti")
 
 
-def put(entries: DataFrame, made: DataFrame, key: str = "key") -> DataFrame:
-    """entries with new ones; a new entry takes the place of an old one of its key."""
-    return entries.join(made, key, "left_anti").unionByName(made)
+def put(entries: DataFrame, made: DataFrame, key: str = "key", order: list[str] | None = None) -> DataFrame:
+    """entries with new ones; a new entry takes the place of an old one of its key, and of new entries with one key the one of
+    the greatest `order` (all other columns, if not given) stays."""
+    one = latest_by(made, [key], order or [c for c in made.columns if c != key]) if len(made.columns) > 1 else made.distinct()
+    return entries.join(one, key, "left_anti").unionByName(one)
 
 
 def content_digest(files: DataFrame, strength: str = "weak") -> DataFrame:

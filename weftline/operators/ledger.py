@@ -37,6 +37,19 @@ def next_token(total: int, limit: int = PAGE, offset: int = 0) -> int | None:
     return offset + limit if offset + limit < total else None
 
 
+def runs_of_session(runs: DataFrame, session_id: int, limit: int = PAGE, offset: int = 0) -> DataFrame:
+    """A session's runs, the oldest first."""
+    return page(runs.where(F.col("session_id") == session_id), [F.col("created_at"), F.col("id")], limit, offset)
+
+
+def page_after(rows: DataFrame, keys: list[str], last: list | None, limit: int = PAGE) -> DataFrame:
+    """The page after the row whose keys are `last` (None: the first page), in ascending order of the keys. What comes before is
+    filtered out, so a late page costs no more than an early one; the keys must be unique together."""
+    if last is not None:
+        rows = rows.where(F.struct(*keys) > F.struct(*(F.lit(x).alias(k) for k, x in zip(keys, last))))
+    return rows.orderBy(*keys).limit(limit)
+
+
 def counts(rows: DataFrame, by: str = "status") -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"))
 
@@ -60,6 +73,12 @@ def latest_by(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     return top.select(*keys, "_r.*").select(*rows.columns)
 
 
+def latest_index_entries(index_log: DataFrame, runs: DataFrame) -> DataFrame:
+    """The newest entry of each link (by time, then id), with the uuid of its run."""
+    newest = latest_by(index_log, ["link_path"], ["created_at", "id"])
+    return newest.join(runs.select(F.col("id").alias("run_id"), F.col("uuid").alias("run_uuid")), "run_id")
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """table with the changes: of rows with one key, the one of the greatest `order` stays (a change before an old row)."""
     both = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
@@ -72,6 +91,23 @@ def transition(rows: DataFrame, to: str, allowed: tuple[str, ...], where: Column
     return rows.withColumn("status", F.when(meant, to).otherwise(F.col("status")))
 
 
+def cancel_requested(runs: DataFrame, ids: DataFrame) -> DataFrame:
+    """runs with a request to cancel those of `ids` (a column id): a run that hasn't begun is canceled at once, one under way is
+    canceling, and a second request cancels what is canceling already. Runs that ended stay as they are."""
+    asked = ids.select("id").distinct().withColumn("_asked", F.lit(True))
+    at, out = F.col("status"), runs.join(asked, "id", "left")
+    to = F.when(at.isin("queued", "canceling"), "canceled").when(at.isin("analyzing", "running"), "canceling").otherwise(at)
+    return out.withColumn("status", F.when(F.col("_asked"), to).otherwise(at)).select(*runs.columns)
+
+
+def canceled_tasks(tasks: DataFrame, runs: DataFrame) -> DataFrame:
+    """tasks with those that haven't ended canceled where their run is canceled."""
+    gone = runs.where("status = 'canceled'").select(F.col("id").alias("run_id"), F.lit(True).alias("_gone"))
+    out = tasks.join(gone, "run_id", "left")
+    live = F.col("status").isin("initializing", "localizing", "pending", "running")
+    return out.withColumn("status", F.when(F.col("_gone") & live, "canceled").otherwise(F.col("status"))).select(*tasks.columns)
+
+
 def orphaned(runs: DataFrame, sessions: DataFrame, cutoff: Column) -> DataFrame:
     """Unfinished runs whose session gave no sign of life since the cutoff."""
     stale = sessions.where(F.coalesce("heartbeat_at", "created_at") < cutoff).select(F.col("id").alias("session_id"))

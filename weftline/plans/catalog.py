@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .. import functions as L
 from .. import types as T
 from ..operators import assertions, cache, dataflow, ledger, tasks
-from ..sources import read_line_table, read_tsv_table, write_tsv_table
-from ..streaming import fold_states, monitor, stale_sessions
+from ..sources import file_sizes, globbed, held_files, read_line_table, read_tsv_table, write_tsv_table
+from ..streaming import StateTable, fold_states, liveness, monitor, reconcile, stale_sessions
 from . import compiler, inputs
 from .parser import parse
 
@@ -43,10 +43,30 @@ def _text(**names: T.Type) -> dict:
     return {k: (F.col(k), t) for k, t in names.items()}
 
 
+_scratch: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared folder of the session (a temporary one only where none is set, in local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root or tempfile.gettempdir()}/weftline-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder of the session (a temporary one of this process only where none is set and the
+    master is local, as in tests). What is in it goes when the process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="weftline-")
+        _scratch[app] = f"{named.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+        atexit.register(_sweep, spark, _scratch[app])
+    return f"{_scratch[app]}/{uuid.uuid4().hex}"
+
+
+def _sweep(spark: SparkSession, root: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone at exit
+        return
 
 
 # --- expressions
@@ -160,6 +180,22 @@ def _by_region(spark, sf_dir) -> DataFrame:
     return dataflow.gather(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey", ["n_name"]).withColumnRenamed("n_name", "names")
 
 
+@query("SELECT p_partkey, '|' || array_to_string(string_split(p_brand, ''), '|') || '|' AS parts FROM part")
+def fn_split_empty(spark, sf_dir):
+    parts = L.split(F.col("p_brand"), "")
+    return table(spark, sf_dir, "part").select("p_partkey", L.sep("|", parts).alias("parts"))
+
+
+@query("SELECT n_nationkey, n_name < 'J' AS there, n_name < 'J' AND n_regionkey = 1 AS deep, false AS beyond FROM nation")
+def fn_contains_key_path(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation")
+    inner = F.create_map(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.col("n_nationkey").cast("long"))
+    m = F.when(F.col("n_name") < "J", F.create_map(F.lit("a"), inner)).otherwise(F.create_map(F.lit("b"), inner))
+    at = {"m": (m, T.map_of(T.STRING, T.map_of(T.STRING, T.INT)))}
+    made = {"there": 'contains_key(m, ["a"])', "deep": 'contains_key(m, ["a", "r1"])', "beyond": 'contains_key(m, ["a", "r1", "x"])'}
+    return rows.select("n_nationkey", *(compiler.column(e, at).alias(k) for k, e in made.items()))
+
+
 @query(f"SELECT n_regionkey, array_to_string(list_transform(names, lambda x: 'n-' || x), ' ') AS before, array_to_string(list_transform(names, lambda x: x || '.txt'), ' ') AS after FROM ({_BY_REGION})")
 def fn_prefix_suffix(spark, sf_dir):
     return _by_region(spark, sf_dir).select("n_regionkey", L.sep(" ", L.prefix("n-", F.col("names"))).alias("before"), L.sep(" ", L.suffix(".txt", F.col("names"))).alias("after"))
@@ -451,6 +487,71 @@ def fl_assertions(spark, sf_dir):
     return got.select("c_custkey", "passed", L.length(F.col("failed")).alias("n_failed"))
 
 
+@query("SELECT n_nationkey, 'nation ' || n_name || ' of ' || r_name AS said, CAST(len(n_name) + len(r_name) + 11 AS DOUBLE) AS bytes, 'said.txt' AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def fl_task_files(spark, sf_dir):
+    flow = """
+    task tell {
+      input { env String region  File nation }
+      command <<< mkdir -p out; printf 'nation %s of %s' "$(cat ~{nation})" "$region" > out/said.txt >>>
+      output { File made = "out/said.txt"  Float bytes = size("out/said.txt")  Array[File] all = glob("**/*.txt") }
+    }
+    workflow w { input { File nation  String region } call tell { nation, region } output { File said = tell.all[0]  Float bytes = tell.bytes  String name = basename(tell.made) } }"""
+    rows = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
+    return compiler.run(rows.select("n_nationkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region")), flow, keep=["n_nationkey"])
+
+
+@query(f"SELECT n_regionkey, list_transform(names, lambda x: upper(x) || '!') AS said, CAST(len(names) AS BIGINT) AS n FROM ({_BY_REGION})")
+def fl_task_scatter(spark, sf_dir):
+    flow = """
+    import "steps" as steps
+    workflow w {
+      input { Array[String] names }
+      scatter (name in names) { call steps.shout { word = name }  String said = shout.out + "!" }
+      output { Array[String] said_ = said  Int n = length(shout.out) }
+    }"""
+    steps = "task shout { input { String word } command <<< printf '%s' '~{word}' | tr a-z A-Z >>> output { String out = read_string(stdout()) } }"
+    return compiler.run(_by_region(spark, sf_dir), flow, keep=["n_regionkey"], imports={"steps": steps}).withColumnRenamed("said_", "said")
+
+
+@query("SELECT r_regionkey, CAST(2 AS BIGINT) AS attempt, CAST(4294967296 AS BIGINT) AS memory, CAST(3 AS BIGINT) AS code FROM region")
+def fl_task_retry(spark, sf_dir):
+    flow = """
+    task t {
+      input { Int last = 2 }
+      command <<< if [ ~{task.attempt} -lt ~{last} ]; then exit 1; fi; exit 3 >>>
+      output { Int attempt = task.attempt  Int memory = task.memory  Int code = task.return_code }
+      requirements { max_retries: last + 1  return_codes: [0, 3]  memory: if task.attempt == 0 then "1 GiB" else "~{select_first([task.previous.memory]) * 2}" }
+    }
+    workflow w { call t output { Int attempt = t.attempt  Int memory = t.memory  Int code = t.code } }"""
+    return compiler.run(table(spark, sf_dir, "region"), flow, keep=["r_regionkey"])
+
+
+@query("SELECT n_nationkey, n_nationkey % 2 = 0 AS even, CAST(n_nationkey % 2 AS INTEGER) AS status FROM nation")
+def fl_success_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey")
+    got = tasks.run_tasks(rows, F.concat(F.lit("exit "), (F.col("n_nationkey") % 2).cast("string")), fail=False, return_codes=[0, 2])
+    return got.select("n_nationkey", F.col("task.ok").alias("even"), F.col("task.exit_status").alias("status"))
+
+
+@query("SELECT c_custkey, c_custkey + 1 AS first_, c_custkey * 2 AS second_ FROM customer")
+def fl_after(spark, sf_dir):
+    flow = """
+    workflow one { input { Int x } output { Int y = x + 1 } }
+    workflow two { input { Int x } output { Int y = x * 2 } }
+    workflow w { input { Int x } call two as b after a { x } call one as a { x } output { Int first_ = a.y  Int second_ = b.y } }"""
+    return compiler.run(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("x")), flow, "w", keep=["c_custkey"])
+
+
+@query("SELECT r_regionkey, chr(10) || '  region ' || r_name || chr(10) || 'end' AS said FROM region")
+def op_multiline(spark, sf_dir):
+    text = """<<<
+
+      region ~{name}
+    end
+    >>>"""
+    return table(spark, sf_dir, "region").select("r_regionkey", compiler.column(text, {"name": (F.col("r_name"), T.STRING)}).alias("said"))
+
+
 # --- ledger: orders stand for runs, customers for sessions, lines for tasks
 
 
@@ -539,6 +640,31 @@ _FOLD = """SELECT user_id AS task, coalesce(arg_min(CASE WHEN event_type IN ('pu
 _STATES = {"progress": ("signup", "view", "click"), "final": ("purchase", "error")}
 
 
+@query("SELECT user_id AS session, event_type AS link_path, e.event_id AS id, c_name AS run_uuid FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) e JOIN customer ON user_id = c_custkey WHERE rn = 1")
+def lg_latest_with_run(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("run_id"), F.col("event_type").alias("link_path"), F.col("ts").alias("created_at"))
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("uuid"))
+    return ledger.latest_index_entries(log, runs).select(F.col("run_id").alias("session"), "link_path", "id", "run_uuid")
+
+
+@query("SELECT o_orderkey AS id, concat('run-', o_orderkey) AS uuid FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate, o_orderkey LIMIT 100")
+def lg_runs_of_session(spark, sf_dir):
+    return ledger.runs_of_session(_runs(spark, sf_dir), 7).select("id", "uuid")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey > 150 ORDER BY o_orderkey LIMIT 25")
+def lg_page_after(spark, sf_dir):
+    return ledger.page_after(_runs(spark, sf_dir), ["id"], [150], 25).select("id")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 <> 0 THEN o_orderstatus WHEN o_orderstatus = 'O' THEN 'canceled' WHEN o_orderstatus = 'P' THEN 'canceling' ELSE o_orderstatus END AS status FROM orders")
+def lg_cancel(spark, sf_dir):
+    named = F.when(F.col("status") == "O", "queued").when(F.col("status") == "P", "running").otherwise(F.col("status"))
+    runs = _runs(spark, sf_dir)
+    got = ledger.cancel_requested(runs.withColumn("was", F.col("status")).withColumn("status", named), runs.where("session_id % 3 = 0"))
+    return got.select("id", F.when(F.col("status").isin("canceled", "canceling"), F.col("status")).otherwise(F.col("was")).alias("status"))
+
+
 @query(_FOLD)
 def lg_state_fold(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("task", F.col("user_id"))
@@ -569,6 +695,29 @@ def ca_misses(spark, sf_dir):
     return cache.misses(*_cached(spark, sf_dir)).select("doc_id", "key")
 
 
+@query("SELECT n_nationkey, sha256(n_name || chr(10)) AS digest, CAST(len(n_name) + 1 AS BIGINT) AS length FROM nation")
+def ca_content_digest(spark, sf_dir):
+    at = _nation_files(spark, sf_dir)
+    digests = cache.content_digest(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(at), "strong")
+    key = F.regexp_extract("path", "key=([0-9]+)", 1).cast("int").alias("n_nationkey")
+    return digests.select(key, "digest").join(file_sizes(spark, at).where("path like '%.txt'").select(key, "length"), "n_nationkey")
+
+
+def _nation_files(spark, sf_dir) -> str:
+    """A folder with a text file for each nation, that holds its name and a line end."""
+    at = scratch(spark)
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    rows.repartition("key").write.partitionBy("key").text(at)
+    return at
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(n_name) + 1) AS BIGINT) AS chars FROM nation")
+def fn_glob(spark, sf_dir):
+    at = _nation_files(spark, sf_dir)
+    held = held_files(spark, at, "*.txt").select("path", compiler.column("size(f)", {"f": (F.col("file"), T.FILE)}).alias("bytes"))
+    return globbed(spark, at, "*.txt").join(held, "path").agg(F.count("*").alias("n"), F.sum("bytes").cast("long").alias("chars"))
+
+
 # --- streams
 
 
@@ -578,11 +727,10 @@ def st_monitor(spark, sf_dir):
     source = spark.read.parquet(path)
     # a stream reads folders: the table's folder, narrowed to its file where the table is one
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_folder_of(spark, path)).withColumn("task", F.col("user_id"))
-    name, at = f"m{uuid.uuid4().hex}", scratch(spark)
-    monitor(stream, name, at, state="event_type", **_STATES).awaitTermination()
-    if at.startswith("/"):
-        shutil.rmtree(at, ignore_errors=True)
-    return spark.table(name).select("task", "status", "n_events")
+    at = scratch(spark)
+    states = StateTable(f"{at}/states")
+    monitor(stream, "", f"{at}/checkpoint", foreach_batch=states, state="event_type", **_STATES).awaitTermination()
+    return states.read(spark).select("task", "status", "n_events")
 
 
 def _folder_of(spark: SparkSession, path: str) -> str:
@@ -596,3 +744,18 @@ def _folder_of(spark: SparkSession, path: str) -> str:
 def st_stale_sessions(spark, sf_dir):
     beats = table(spark, sf_dir, "events").withColumnRenamed("user_id", "session_id")
     return stale_sessions(beats, F.lit("2024-01-29 12:00:00").cast("timestamp_ntz"))
+
+
+@query("SELECT task, CASE WHEN status IN ('purchase', 'error') THEN status ELSE 'canceled' END AS status FROM (SELECT user_id AS task, coalesce(arg_min(event_type, (ts, event_id)) FILTER (event_type IN ('purchase', 'error')), 'none') AS status FROM events GROUP BY user_id)")
+def st_reconcile(spark, sf_dir):
+    final = ("purchase", "error")
+    states = fold_states(table(spark, sf_dir, "events").withColumn("task", F.col("user_id")), state="event_type", progress=("signup", "view", "click"), final=final)
+    return reconcile(states, final).select("task", "status")
+
+
+@query("""SELECT user_id AS session_id, CAST(count(*) AS BIGINT) AS beats, min(ts) AS since FROM (
+  SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 5 HOUR THEN 0 ELSE 1 END AS gap FROM events)) GROUP BY user_id, part""")
+def st_liveness(spark, sf_dir):
+    beats = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return liveness(beats, gap="5 hours").select("session_id", "beats", F.col("since").cast("timestamp_ntz").alias("since"))

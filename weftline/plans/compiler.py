@@ -1,14 +1,16 @@
 """Compiles the workflow language to columns: one row of a table is one run of a workflow.
 
 Top-level names become columns in the order that they need each other; scatters become `F.transform` over the elements (no
-shuffle), conditionals `F.when`, calls of workflows are compiled in place and calls of tasks run their command in a pandas
-UDF. Types are checked while compiling. Inside a scatter a task call has no column form: scatter the table instead
-(`operators.dataflow`). Files are their contents here.
+shuffle), conditionals `F.when`, calls of workflows are compiled in place and calls of tasks run their command in an Arrow
+UDF. A scatter that calls tasks is compiled in layers: the scripts of all elements become one array, a UDF runs them, and the
+results are zipped back to the elements. Its elements stay in their row's task, a few running at a time: for a large scatter of
+tasks scatter the table (`operators.dataflow`). Types are checked while compiling. Files are paths that may carry their content
+(`sources.held_files`); what a task leaves in its folder comes back with it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import functions as L
 from .. import types as T
 from ..operators import tasks
-from ..types import BOOLEAN, FILE, FLOAT, INT, NONE, OBJECT, STRING, TypeMismatch, coerce, common_type, rendered
+from ..types import BOOLEAN, FILE, FLOAT, INT, NONE, OBJECT, STRING, TypeMismatch, coerce, common_type, file_name, has_files, over_files, rendered
 from .parser import Call, Conditional, Decl, Document, Scatter, Unit, parse
 
 
@@ -31,13 +33,20 @@ class Value:
 
 
 class Env:
-    """Names in scope; `keep` may hold a value back as a column of the table so that it is computed once."""
+    """Names in scope. `keep` holds a value back as a column of the table so that it is computed once; `hold` does so for what
+    must not be computed twice, also within conditionals (none within a scatter's elements). `guard` says whether the
+    conditionals around hold. `task`: what the task gave, in its outputs; `staged`: Files of its command, in its command."""
 
-    def __init__(self, doc: Document, names: dict[str, Value] | None = None, keep=None, scattered: bool = False, task: Value | None = None, active: tuple[str, ...] = ()):
-        self.doc, self.names, self.keep, self.scattered, self.task, self.active = doc, dict(names or {}), keep, scattered, task, active
+    def __init__(self, doc: Document, names: dict[str, Value] | None = None, keep=None, task: Value | None = None, active: tuple[str, ...] = (), hold=None, guard: Column | None = None, staged: list | None = None):
+        self.doc, self.names, self.keep, self.task, self.active = doc, dict(names or {}), keep, task, active
+        self.hold, self.guard, self.staged = hold, guard, staged
 
     def child(self, **names: Value) -> Env:
-        return Env(self.doc, self.names | names, None, self.scattered, self.task, self.active)
+        return Env(self.doc, self.names | names, None, self.task, self.active, self.hold, self.guard, self.staged)
+
+    def element(self, names: dict[str, Value]) -> Env:
+        """The scope of a scatter's elements, where nothing can be held back."""
+        return Env(self.doc, self.names | names, None, None, self.active)
 
     def bind(self, name: str, v: Value) -> None:
         if name in self.names:
@@ -79,6 +88,8 @@ def _string(e, env, inside):
 def _placeholder(p: tuple, env: Env) -> Column:
     _, options, e = p
     v = expression(e, env, inside=True)
+    if env.staged is not None and has_files(v.type):
+        env.staged.append(_held_files(v))
     if "sep" in options:
         return L.sep(expression(options["sep"], env).col, _expect(v, "Array").col, v.type.args[0])
     if "true" in options or "false" in options:
@@ -88,6 +99,18 @@ def _placeholder(p: tuple, env: Env) -> Column:
     return F.coalesce(text, *([rendered(d.col, d.type)] if "default" in options and (d := expression(options["default"], env)) else []), F.lit(""))
 
 
+def _held_files(v: Value) -> Column:
+    """The Files within a value that carry their content, as one array."""
+    if v.type.kind == "File":
+        return F.array(v.col)
+    if v.type.kind == "Array":
+        return F.coalesce(F.flatten(F.transform(v.col, lambda x: _held_files(Value(x, v.type.args[0])))), F.array().cast("array<string>"))
+    if v.type.kind == "Map":
+        return _held_files(Value(F.map_values(v.col), T.array(v.type.args[1])))
+    parts = [*zip(("left", "right"), v.type.args)] if v.type.kind == "Pair" else v.type.members
+    return F.concat(*(_held_files(Value(v.col[n], t)) for n, t in parts if has_files(t)))
+
+
 def _array(e, env, inside):
     if not e[1]:
         return Value(F.array(), T.array(T.Type("Union")))
@@ -216,6 +239,8 @@ def _infix(e, env, inside):
             t = T.array(T.pair(*t.args))
         if not _comparable(t):
             raise TypeMismatch(f"{t} can't be compared: it holds maps")
+        if has_files(t):
+            x, y = (over_files(c, t, lambda f, _: file_name(f)) for c in (x, y))
         same = F.lit(True) if t.kind == "Union" else x.eqNullSafe(y)
         return Value(same if op == "==" else ~same, BOOLEAN)
     if op in ("<", "<=", ">", ">="):
@@ -258,10 +283,17 @@ def _of(n: int, *more: int):
 
 def _call(e, env, inside):
     name, args = e[1], [expression(x, env) for x in e[2]]
-    if name in ("stdout", "stderr"):
+    if name in ("stdout", "stderr", "glob"):
         if env.task is None:
             raise TypeMismatch(f"{name} is for tasks' outputs")
-        return Value(env.task.col[name], FILE)
+        if name == "glob":
+            _of(1)(name, args)
+            pattern = args[0].to(STRING)
+            found = F.filter(F.array_sort(F.map_keys(env.task.col["files"])), lambda k: F.rlike(k, L.glob_pattern(pattern)))
+            return Value(F.transform(found, lambda k: L.held(k, env.task.col["files"][k])), T.array(FILE))
+        return Value(L.held(F.lit(name), env.task.col[name]), FILE)
+    if env.task is not None and args and (name.startswith("read_") or name == "size") and args[0].type.kind in ("String", "File"):
+        args[0] = Value(_made(args[0].to(args[0].type if args[0].type.kind == "File" else FILE.opt() if args[0].type.optional else FILE), FILE, env), replace(args[0].type, kind="File"))
     if name not in LIBRARY:
         raise TypeMismatch(f"no function {name}")
     arity, f = LIBRARY[name]
@@ -269,6 +301,18 @@ def _call(e, env, inside):
     return f(*args)
 
 
+def _made(col: Column, t: T.Type, env: Env) -> Column:
+    """Paths of a task's outputs as Files that carry what the task left there; without it an optional File is null."""
+
+    def one(f: Column, t: T.Type) -> Column:
+        path = F.regexp_replace(f, F.lit(r"^(\./)+"), F.lit(""))
+        none = F.lit(None).cast("string") if t.optional else F.raise_error(F.concat(F.lit("the task made no file "), path))
+        files = env.task.col["files"]
+        return F.when(f.isNull() | L.is_held(f), f).when(F.map_contains_key(files, path), L.held(path, files[path])).otherwise(none)
+
+    return over_files(col, t, one)
+
+
 def _items(v: Value) -> T.Type:
     return _expect(v, "Array").type.args[0]
 
@@ -346,11 +390,27 @@ def _keys(v):
 
 
 def _contains_key(v, k):
-    if k.type.kind == "Array":
-        raise TypeMismatch("contains_key by a path is known only for records: ask for each member")
+    if k.type.kind != "Array":
+        return Value(_has_key(v, k.to(v.type.args[0] if v.type.kind == "Map" else STRING), None), BOOLEAN)
+    keys = k.to(T.array(STRING))
+
+    def walk(x: Value, i: int) -> Column:
+        more = lambda m: F.when(F.size(keys) == i + 1, F.lit(True)).otherwise(walk(m, i + 1))
+        return _has_key(x, F.get(keys, F.lit(i)), more) if x.type.kind in ("Map", "Object") or x.type.members else F.lit(False)
+
+    return Value(F.when(F.size(keys) > 0, walk(v, 0)).otherwise(F.lit(False)), BOOLEAN)
+
+
+def _has_key(v: Value, key: Column, more) -> Column:
+    """Whether the key is in a map or names a member, and `more` holds for what it leads to."""
+    none = F.lit(False)
     if v.type.members:
-        return Value(k.col.isin([n for n, _ in v.type.members]), BOOLEAN)
-    return Value(L.contains_key(v.col, k.to(v.type.args[0] if v.type.args else STRING)), BOOLEAN)
+        each = ((key == n) & (v.col[n].isNotNull() if t.optional else F.lit(True)) & (more(Value(v.col[n], t)) if more else F.lit(True)) for n, t in v.type.members)
+        return F.coalesce(reduce(lambda a, b: a | b, each, none), none)
+    if v.type.kind == "Map" and v.type.args[0].kind != "String" and more:
+        return none
+    there = L.contains_key(v.col, key)
+    return F.when(there, more(Value(v.col[key], v.type.args[1] if v.type.args else STRING))).otherwise(none) if more else there
 
 
 def _as_map(a):
@@ -371,11 +431,21 @@ def _value(v):
     return Value(L.enum_value(v.col, v.type), T.type_of_literal(v.type.choices[0][1]))
 
 
+def _bytes(v: Value) -> Column:
+    """Bytes of the Files within a value; a String is a path."""
+    t, zero = v.type, F.lit(0).cast("long")
+    if t.kind in ("File", "String"):
+        return F.coalesce(F.octet_length(L.file_content(v.col)).cast("long"), zero)
+    if t.kind == "Array":
+        return F.aggregate(F.coalesce(F.transform(v.col, lambda x: _bytes(Value(x, t.args[0]))), F.array().cast("array<bigint>")), zero, lambda a, x: a + x)
+    if t.kind == "Map":
+        return sum((_bytes(Value(f(v.col), T.array(x))) for f, x in zip((F.map_keys, F.map_values), t.args) if has_files(x)), zero)
+    parts = [*zip(("left", "right"), t.args)] if t.kind == "Pair" else t.members
+    return sum((_bytes(Value(v.col[n], m)) for n, m in parts if has_files(m)), zero)
+
+
 def _size(v, u=None):
-    if v.type.kind == "Array":
-        n = F.aggregate(v.col, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)))
-    else:
-        n = F.lit(None) if v.type.kind == "Union" else F.octet_length(v.col)
+    n = F.lit(None) if v.type.kind == "Union" else _bytes(v)
     if u is None:
         return Value(L.sized(n), FLOAT)
     per = L.lookup(F.create_map(*[F.lit(x) for k, b in L.UNITS.items() for x in (k, float(b))]), u.to(STRING))
@@ -383,21 +453,27 @@ def _size(v, u=None):
 
 
 def _read(f, t):
-    return lambda x: Value(f(x.to(FILE)), t)
+    return lambda x: Value(f(L.file_content(x.to(FILE))), t)
+
+
+def _written(content: Column) -> Value:
+    """A File of content that an expression made; its name follows from the content."""
+    return Value(L.held(F.concat(F.lit("tmp/"), F.substring(F.md5(content.cast("binary")), 1, 16)), content), FILE)
 
 
 def _read_tsv(x, header=None, names=None):
+    content = L.file_content(x.to(FILE))
     if header is None:
-        return Value(L.parse_tsv(x.col), T.array(T.array(STRING)))
+        return Value(L.parse_tsv(content), T.array(T.array(STRING)))
     if names is not None:
-        rows = L.parse_objects(x.col, names.col)
-        skipped = L.parse_objects(F.regexp_replace(x.col, F.lit(r"^[^\n]*\n?"), F.lit("")), names.col)
+        rows = L.parse_objects(content, names.col)
+        skipped = L.parse_objects(F.regexp_replace(content, F.lit(r"^[^\n]*\n?"), F.lit("")), names.col)
         return Value(F.when(header.col, skipped).otherwise(rows), T.array(OBJECT))
-    return Value(L.parse_objects(x.col), T.array(OBJECT))
+    return Value(L.parse_objects(content), T.array(OBJECT))
 
 
 def _write_tsv(a, header=None, names=None):
-    return Value(L.format_tsv(a.to(T.array(T.array(STRING))), None if names is None else names.col), FILE)
+    return _written(L.format_tsv(a.to(T.array(T.array(STRING))), None if names is None else names.col))
 
 
 def _strings_of(v: Value) -> Column:
@@ -409,7 +485,7 @@ def _strings_of(v: Value) -> Column:
 def _write_objects(a):
     t = _items(a)
     rows = F.transform(a.col, lambda o: _strings_of(Value(o, t)))
-    return Value(L.format_objects(rows), FILE)
+    return _written(L.format_objects(rows))
 
 
 LIBRARY = {
@@ -459,12 +535,12 @@ LIBRARY = {
     "read_object": (_of(1), _read(L.parse_object, OBJECT)),
     "read_objects": (_of(1), _read(L.parse_objects, T.array(OBJECT))),
     "read_json": (_of(1), _read(L.parse_json, T.Type("Union"))),
-    "write_lines": (_of(1), lambda a: Value(L.format_lines(a.to(T.array(STRING))), FILE)),
+    "write_lines": (_of(1), lambda a: _written(L.format_lines(a.to(T.array(STRING))))),
     "write_tsv": (_of(1, 2, 3), _write_tsv),
-    "write_map": (_of(1), lambda m: Value(L.format_map(m.to(T.map_of(STRING, STRING))), FILE)),
-    "write_object": (_of(1), lambda o: Value(L.format_object(_strings_of(o)), FILE)),
+    "write_map": (_of(1), lambda m: _written(L.format_map(m.to(T.map_of(STRING, STRING))))),
+    "write_object": (_of(1), lambda o: _written(L.format_object(_strings_of(o)))),
     "write_objects": (_of(1), _write_objects),
-    "write_json": (_of(1), lambda v: Value(L.format_json(v.col), FILE)),
+    "write_json": (_of(1), lambda v: _written(L.format_json(over_files(v.col, v.type, lambda f, _: file_name(f))))),
 }
 
 _FORMS = {
@@ -532,13 +608,16 @@ def ordered(body: list) -> list:
 
 def statement(s, env: Env) -> None:
     if isinstance(s, Decl):
-        env.bind(s.name, Value(expression(s.expr, env).to(s.type), s.type))
+        col = expression(s.expr, env).to(s.type)
+        env.bind(s.name, Value(_made(col, s.type, env) if env.task is not None else col, s.type))
     elif isinstance(s, Scatter):
         over = _expect(expression(s.over, env), "Array")
+        if any(_tasks_in(t, env.doc) for t in s.body):
+            return layered(s, over, env)
         types: dict[str, T.Type] = {}
 
         def body(x: Column) -> Column:
-            inner = Env(env.doc, env.names | {s.var: Value(x, over.type.args[0])}, None, True, None, env.active)
+            inner = env.element({s.var: Value(x, over.type.args[0])})
             for t in ordered(s.body):
                 statement(t, inner)
             got = {n: inner.names[n] for t in s.body for n in sorted(made(t))}
@@ -551,10 +630,14 @@ def statement(s, env: Env) -> None:
         for n, t in types.items():
             env.bind(n, Value(_each_member(gathered, n), T.array(t, over.type.nonempty)))
     elif isinstance(s, Conditional):
-        tests, scopes = [], []
+        tests, scopes, before = [], [], env.guard
         for c, b in s.clauses:
             tests.append(None if c is None else _expect(expression(c, env), "Boolean").col)
             inner = env.child()
+            # a clause runs where its condition holds and none before it did
+            here = F.lit(True) if c is None else F.coalesce(tests[-1], F.lit(False))
+            inner.guard = here if before is None else before & here
+            before = ~here if before is None else before & ~here
             for t in ordered(b):
                 statement(t, inner)
             scopes.append({n: inner.names[n] for t in b for n in made(t)})
@@ -577,21 +660,83 @@ def statement(s, env: Env) -> None:
         raise TypeMismatch(f"no statement {s!r}")
 
 
-def called(s: Call, env: Env) -> Value:
-    unit = env.doc.units.get(s.target)
-    if unit is None:
+def _unit(s: Call, doc: Document) -> Unit:
+    if s.target not in doc.units:
         raise TypeMismatch(f"no task or workflow {s.target}")
+    return doc.units[s.target]
+
+
+def _tasks_in(s, doc: Document, above: tuple[str, ...] = ()) -> bool:
+    """Whether a statement runs a task."""
+    if isinstance(s, Call):
+        u = doc.units.get(s.target)
+        return u is not None and s.target not in above and (u.command is not None or any(_tasks_in(x, u.doc or doc, (*above, s.target)) for x in u.body))
+    parts = s.body if isinstance(s, Scatter) else [x for _, b in s.clauses for x in b] if isinstance(s, Conditional) else []
+    return any(_tasks_in(x, doc, above) for x in parts)
+
+
+def _outputs(made: dict[str, Value]) -> Value:
+    t = T.struct("", {k: v.type for k, v in made.items()}, "Call")
+    return Value(F.struct(*(v.col.alias(k) for k, v in made.items())) if made else F.struct(F.lit(0).alias("_")), t)
+
+
+def called(s: Call, env: Env) -> Value:
+    unit = _unit(s, env.doc)
     if s.target in env.active:
         raise TypeMismatch(f"{s.target} calls itself")
     given = {k: expression(x, env) for k, x in s.inputs.items()}
-    outputs = evaluated(unit, given, Env(env.doc, {}, None, env.scattered, None, (*env.active, s.target)))
-    t = T.struct("", {k: v.type for k, v in outputs.items()}, "Call")
-    col = F.struct(*(v.col.alias(k) for k, v in outputs.items())) if outputs else F.struct(F.lit(0).alias("_"))
-    return Value(col, t)
+    return _outputs(evaluated(unit, given, Env(unit.doc or env.doc, {}, None, None, (*env.active, s.target), env.hold, env.guard)))
+
+
+def layered(s: Scatter, over: Value, env: Env) -> None:
+    """A scatter whose body calls tasks, layer by layer: elements are structs that grow by what each statement makes."""
+    if env.hold is None:
+        raise TypeMismatch("a task is called in a scatter within a scatter: scatter the table (operators.dataflow.scatter) and call it there")
+    types = {s.var: over.type.args[0]}
+    base = F.transform(over.col, lambda x: F.struct(x.alias(s.var)))
+    acc = env.hold(f"scatter_{s.var}", Value(base if env.guard is None else F.when(env.guard, base), NONE)).col
+    names = lambda e: {n: Value(e[n], t) for n, t in types.items()}
+    grown = lambda e, more: F.struct(*(e[n].alias(n) for n in types), *(v.col.alias(n) for n, v in more.items()))
+    for t in ordered(s.body):
+        got: dict[str, T.Type] = {}
+        if isinstance(t, Call) and _unit(t, env.doc).command is not None:
+            unit, scope = _unit(t, env.doc), {}
+
+            def before(e: Column) -> Column:
+                outer, inner = env.element(names(e)), Env(unit.doc or env.doc)
+                bound(unit, {k: expression(x, outer) for k, x in t.inputs.items()}, inner)
+                scope.update({n: v.type for n, v in inner.names.items()})
+                return F.struct(task_call(unit, inner).alias("call"), _outputs(inner.names).col.alias("names"))
+
+            ready = env.hold(f"calls_{t.alias}", Value(F.transform(acc, before), NONE)).col
+            ran = env.hold(f"ran_{t.alias}", Value(tasks.commands(_each_member(ready, "call")), NONE), unit).col
+
+            def after(e: Column, x: Column) -> Column:
+                inner = Env(unit.doc or env.doc, {n: Value(x["p"]["names"][n], k) for n, k in scope.items()})
+                made_ = _outputs(finished(unit, inner, x["r"]))
+                got[t.alias] = made_.type
+                return grown(e, {t.alias: made_})
+
+            acc = F.zip_with(acc, F.zip_with(ready, ran, lambda p, r: F.struct(p.alias("p"), r.alias("r"))), after)
+        else:
 
+            def step(e: Column) -> Column:
+                inner = env.element(names(e))
+                statement(t, inner)
+                new = {n: inner.names[n] for n in sorted(made(t))}
+                got.update({n: v.type for n, v in new.items()})
+                return grown(e, new)
 
-def evaluated(unit: Unit, given: dict[str, Value], env: Env) -> dict[str, Value]:
-    """Outputs of a workflow or task for the given inputs, in the order in which they are declared."""
+            acc = F.transform(acc, step)
+        acc = env.hold(f"scatter_{s.var}_{len(types)}", Value(acc, NONE)).col
+        types |= got
+    for n, t in types.items():
+        if n != s.var:
+            env.bind(n, Value(_each_member(acc, n), T.array(t, over.type.nonempty)))
+
+
+def bound(unit: Unit, given: dict[str, Value], env: Env) -> None:
+    """Binds a unit's inputs and runs its statements."""
     if unknown := set(given) - {d.name for d in unit.inputs}:
         raise TypeMismatch(f"{unit.name} has no input {', '.join(sorted(unknown))}")
     defaults = []
@@ -614,44 +759,191 @@ def evaluated(unit: Unit, given: dict[str, Value], env: Env) -> dict[str, Value]
             env.bind(d.name, Value(F.coalesce(v.to(d.type.opt()), expression(d.expr, env).to(d.type)), d.type))
         else:
             statement(s, env)
-    if unit.command is not None:
-        if env.scattered:
-            raise TypeMismatch(f"the task {unit.name} is called in a scatter: scatter the table (operators.dataflow.scatter) and call it there")
-        retries, codes = (unit.settings.get(k) for k in ("max_retries", "return_codes"))
-        options = {"max_retries": 0 if retries is None else _number_of(retries), "return_codes": 0 if codes is None else _codes_of(codes)}
-        run = tasks.command(_string(unit.command, env, False).col, **options)
-        if env.keep:
-            run = env.keep(f"task_{unit.name}", Value(run, NONE)).col
-        ok = tasks.succeeded(run["exit_status"], options["return_codes"])
-        run = F.when(ok, run).otherwise(F.raise_error(F.concat(F.lit(f"task {unit.name} failed: "), run["stderr"])))
-        env.task = Value(run, NONE)
+
+
+def evaluated(unit: Unit, given: dict[str, Value], env: Env) -> dict[str, Value]:
+    """Outputs of a workflow or task for the given inputs, in the order in which they are declared."""
+    bound(unit, given, env)
+    if unit.command is None:
+        for d in ordered(unit.outputs):
+            statement(d, env)
+        return {d.name: env.names[d.name] for d in unit.outputs}
+    if env.hold is None:
+        raise TypeMismatch(f"the task {unit.name} is called in a scatter within a scatter or by a workflow there: scatter the table (operators.dataflow.scatter) and call it there")
+    call = task_call(unit, env)
+    ran = F.get(tasks.commands(F.array(call if env.guard is None else F.when(env.guard, call))), F.lit(0))
+    return finished(unit, env, env.hold(f"task_{unit.name}", Value(F.array(ran), NONE), unit).col[0])
+
+
+def _settings(unit: Unit) -> dict[str, tuple]:
+    return {tasks.RENAMED.get(k, k): e for k, e in unit.settings.items()}
+
+
+def _uses_task(e) -> bool:
+    return "task" in used(e)
+
+
+def _resources(unit: Unit, env: Env, attempt: Column) -> Column:
+    """cpu and memory (bytes) of an attempt; where they follow from the attempt before, of all attempts up to it."""
+    asked, kinds = _settings(unit), {"cpu": FLOAT.opt(), "memory": INT.opt()}
+
+    def at(i: Column, previous: Column) -> Column:
+        inner = env.child(task=Value(F.struct(i.cast("long").alias("attempt"), previous.alias("previous")), T.struct("", {"attempt": INT, "previous": T.struct("", kinds)})))
+        cpu, memory = F.lit(tasks.CPU), F.lit(tasks.MEMORY).cast("long")
+        if "cpu" in asked:
+            cpu = expression(asked["cpu"], inner).to(FLOAT)
+        if "memory" in asked:
+            v = expression(asked["memory"], inner)
+            memory = v.to(INT) if v.type.kind == "Int" else tasks.memory_bytes(v.to(STRING))
+        return F.struct(cpu.cast("double").alias("cpu"), memory.cast("long").alias("memory"))
+
+    none = F.struct(F.lit(None).cast("double").alias("cpu"), F.lit(None).cast("long").alias("memory"))
+    if not any(_uses_task(asked[k]) for k in kinds if k in asked):
+        return at(attempt, none)
+    return F.aggregate(F.sequence(F.lit(0), attempt.cast("int")), none, lambda before, i: at(i, before))
+
+
+def _constant(x: object) -> Value | None:
+    """A value of a meta section; lists have no place in the record."""
+    if isinstance(x, dict):
+        inner = {k: v for k, y in x.items() if (v := _constant(y)) is not None}
+        return Value(F.struct(*(v.col.alias(k) for k, v in inner.items())), T.struct("", {k: v.type for k, v in inner.items()}, "Object")) if inner else None
+    if x is None or isinstance(x, list):
+        return None
+    return Value(F.lit(x).cast("long") if type(x) is int else F.lit(x), T.type_of_literal(x))
+
+
+def _task_record(unit: Unit, env: Env, attempt: Column, return_code: Column | None) -> Value:
+    """`task` as a command and the outputs see it."""
+    asked = _settings(unit)
+    needs = _resources(unit, env, attempt)
+    none = F.struct(F.lit(None).cast("double").alias("cpu"), F.lit(None).cast("long").alias("memory"))
+    previous = F.when(attempt > 0, _resources(unit, env, F.greatest(attempt - 1, F.lit(0)))).otherwise(none)
+    container = expression(asked["container"], env) if "container" in asked else None
+    texts = F.array().cast("array<string>")
+    made_ = {
+        "name": Value(F.lit(unit.name), STRING), "id": Value(F.lit(unit.name), STRING), "attempt": Value(attempt.cast("long"), INT), "cpu": Value(needs["cpu"], FLOAT), "memory": Value(needs["memory"], INT),
+        "container": Value(F.lit(None).cast("string"), STRING.opt()) if container is None else Value(container.col if container.type.kind != "Array" else F.get(container.col, F.lit(0)), STRING.opt()),
+        "gpu": Value(texts, T.array(STRING)), "fpga": Value(texts, T.array(STRING)), "disks": Value(F.create_map().cast("map<string,bigint>"), T.map_of(STRING, INT)),
+        "end_time": Value(F.lit(None).cast("long"), INT.opt()), "return_code": Value((F.lit(None) if return_code is None else return_code).cast("long"), INT.opt() if return_code is None else INT),
+        "max_retries": Value((expression(asked["max_retries"], env).to(INT) if "max_retries" in asked and not _uses_task(asked["max_retries"]) else F.lit(0)).cast("long"), INT),
+        "previous": Value(previous, T.struct("", {"cpu": FLOAT.opt(), "memory": INT.opt()})),
+    }
+    if (meta := _constant(unit.meta)) is not None:
+        made_["meta"] = meta
+    return Value(F.struct(*(v.col.alias(k) for k, v in made_.items())), T.struct("", {k: v.type for k, v in made_.items()}, "Object"))
+
+
+def _localised(f: Column, _: T.Type) -> Column:
+    """A File as the task's folder has it: under a name of its own, with its own last segment."""
+    name = file_name(f)
+    local = F.concat(F.lit("inputs/"), F.substring(F.md5(name.cast("binary")), 1, 8), F.lit("/"), L.basename(name))
+    return F.when(L.is_held(f), L.held(local, L.file_content(f))).otherwise(f)
+
+
+def task_call(unit: Unit, env: Env) -> Column:
+    """The call of a task whose inputs and declarations are bound in env: scripts, Files, variables, retries and codes."""
+    asked, staged = _settings(unit), []
+    first = env.child(task=_task_record(unit, env, F.lit(0), None)) if any(map(_uses_task, asked.values())) else env
+    retries = expression(asked["max_retries"], first).to(INT) if "max_retries" in asked else F.lit(0)
+    codes = F.lit("0")
+    if "return_codes" in asked:
+        v = expression(asked["return_codes"], first)
+        codes = F.when(v.col == "*", "*").otherwise("") if v.type.kind == "String" else F.array_join(v.col.cast("array<string>"), ",") if v.type.kind == "Array" else v.to(INT).cast("string")
+    local = {n: Value(over_files(v.col, v.type, _localised), v.type) for n, v in env.names.items()}
+    staged = [_held_files(v) for v in local.values() if has_files(v.type)]
+
+    def script(attempt: Column) -> Column:
+        inner = Env(env.doc, local, None, None, env.active, staged=staged)
+        if _uses_task(unit.command):
+            inner.names["task"] = _task_record(unit, env, attempt, None)
+        return _string(unit.command, inner, False).col
+
+    scripts = F.transform(F.sequence(F.lit(0), F.greatest(retries.cast("int"), F.lit(0))), lambda a: script(a)) if _uses_task(unit.command) else F.array(script(F.lit(0)))
+    names = {d.name for d in [*unit.inputs, *unit.body] if isinstance(d, Decl) and d.env}
+    pairs = [x for n in sorted(names) for x in (F.lit(n), rendered(local[n].col, local[n].type))]
+    files = F.array_compact(F.concat(*staged)) if staged else None
+    return tasks.call_of(scripts, files, F.create_map(*pairs) if pairs else None, retries, codes)
+
+
+def _failed(unit: Unit, ran: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"task {unit.name} failed: "), ran["stderr"]))
+
+
+def _all_fine(unit: Unit, runs: Column) -> Column:
+    return F.forall(F.coalesce(runs, F.array()), lambda r: F.when(r.isNull() | r["ok"], True).otherwise(_failed(unit, r).cast("boolean")))
+
+
+def finished(unit: Unit, env: Env, ran: Column) -> dict[str, Value]:
+    """A task's outputs, from what its command gave."""
+    env.task = Value(F.when(ran.isNull() | ran["ok"], ran).otherwise(_failed(unit, ran)), NONE)
+    if any(map(_uses_task, unit.outputs)):
+        env.names["task"] = _task_record(unit, env.child(), ran["attempt"], ran["exit_status"])
     for d in ordered(unit.outputs):
         statement(d, env)
     return {d.name: env.names[d.name] for d in unit.outputs}
 
 
-def _number_of(e: tuple) -> int:
-    if e[0] != "int":
-        raise TypeMismatch("max_retries is a plain number")
-    return e[1]
+def plain(e: tuple) -> object:
+    """A literal expression's value: numbers, truths, texts, arrays, pairs, maps and records of them."""
+    kind = e[0]
+    if kind in ("int", "float", "boolean"):
+        return e[1]
+    if kind == "none":
+        return None
+    if kind == "negative":
+        return -plain(e[1])
+    if kind == "string" and all(isinstance(p, str) for p in e[1]):
+        return "".join(e[1])
+    if kind == "array":
+        return [plain(x) for x in e[1]]
+    if kind == "map":
+        return {plain(k): plain(x) for k, x in e[1]}
+    if kind == "object":
+        return {k: plain(x) for k, x in e[1]}
+    raise TypeMismatch("a literal is wanted")
 
 
-def _codes_of(e: tuple):
-    if e[0] == "string":
-        return "".join(e[1])
-    return [_number_of(x) for x in e[1]] if e[0] == "array" else _number_of(e)
+def task_options(unit: Unit) -> tuple[dict[str, object], dict[str, object]]:
+    """A task's requirements and hints as plain values, with what holds where it says nothing; for whoever sizes executors.
+    Expressions that aren't literals are left out: they are known only where the task runs."""
 
+    def known(asked: dict[str, tuple]) -> dict[str, object]:
+        out = {}
+        for k, e in asked.items():
+            try:
+                out[k] = plain(e)
+            except TypeMismatch:
+                continue
+        return out
 
-def run(rows: DataFrame, source: str | Document, workflow: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    needs = {"cpu": tasks.CPU, "memory": tasks.MEMORY, "gpu": False, "fpga": False, "disks": "1 GiB", "container": None, "max_retries": 0, "return_codes": 0}
+    return needs | known(_settings(unit)), {"preemptible": 0, "cacheable": True} | known(unit.hints)
+
+
+def _contents(t: T.Type, name: str):
+    """Table columns of type File: a path with its content stays, other text is a content without a path."""
+    return lambda f, _: F.when(L.is_held(f), f).otherwise(L.held(F.lit(name), f))
+
+
+def _released(f: Column, _: T.Type) -> Column:
+    """A File as a table shows it: its content, or its path where the content isn't at hand."""
+    return F.when(L.is_held(f), L.file_content(f)).otherwise(f)
+
+
+def run(rows: DataFrame, source: str | Document, workflow: str | None = None, keep: list[str] | None = None, imports: dict[str, str] | None = None) -> DataFrame:
     """One run of the workflow a row: its inputs are the columns of their names (or their defaults), its outputs become
-    columns. Columns named in `keep` go along."""
-    doc = parse(source) if isinstance(source, str) else source
-    flows = [u for u in doc.units.values() if u.command is None]
+    columns. Columns named in `keep` go along. Columns of Files hold contents, or paths with contents as
+    `sources.held_files` gives them; Files among the outputs come as contents. `imports`: texts of imported documents."""
+    doc = parse(source, imports) if isinstance(source, str) else source
+    flows = [u for n, u in doc.units.items() if u.command is None and "." not in n]
     unit = doc.units[workflow] if workflow else flows[-1] if flows else next(iter(doc.units.values()))
     state = {"df": rows}
 
-    def hold(name: str, v: Value) -> Value:
-        at = f"_w_{name}"
+    def hold(name: str, v: Value, of: Unit | None = None) -> Value:
+        """`of`: the task whose runs these are; they are made whether or not an output is asked for."""
+        at = f"_w_{len(state)}_{name}"
+        state[at] = of
         state["df"] = state["df"].withColumn(at, v.col)
         return Value(F.col(at), v.type)
 
@@ -663,15 +955,20 @@ def run(rows: DataFrame, source: str | Document, workflow: str | None = None, ke
             # a table's columns are often nullable without holding nulls: a null where none may be fails when its row is computed
             sure = t.optional and not d.type.optional and d.expr is None
             col = T.require(F.col(d.name).isNotNull(), F.col(d.name), f"the input {d.name} is null") if sure else F.col(d.name)
-            given[d.name] = Value(col, _loosened(t, d.type).required() if sure else _loosened(t, d.type))
-    outputs = evaluated(unit, given, Env(doc, {}, hold, False, None, (unit.name,)))
-    return state["df"].select(*(keep or []), *(v.col.alias(n) for n, v in outputs.items()))
+            have = _loosened(t, d.type).required() if sure else _loosened(t, d.type)
+            given[d.name] = Value(over_files(col, have, _contents(have, d.name)), have)
+    outputs = evaluated(unit, given, Env(doc, {}, hold, None, (unit.name,), hold))
+    out = state.pop("df")
+    for at, unit in state.items():
+        if unit is not None:
+            out = out.where(_all_fine(unit, F.col(at)))
+    return out.select(*(keep or []), *(over_files(v.col, v.type, _released).alias(n) for n, v in outputs.items()))
 
 
 def _loosened(have: T.Type, want: T.Type) -> T.Type:
     """The column's type with inner nullability as wanted (tables rarely say that elements aren't null)."""
-    from dataclasses import replace
-
+    if have.kind == "String" and want.kind == "File":
+        return replace(have, kind="File")
     if have.kind == want.kind and have.args:
         return replace(have, args=tuple(replace(_loosened(a, b), optional=b.optional) for a, b in zip(have.args, want.args)))
     if have.kind == want.kind and have.kind in ("Array", "Pair", "Map"):
@@ -683,11 +980,13 @@ def _loosened(have: T.Type, want: T.Type) -> T.Type:
 
 
 def column(text: str, env: dict[str, tuple[Column, T.Type]] | None = None, document: Document | None = None) -> Column:
-    """The column of one expression over named columns."""
+    """The column of one expression over named columns; columns of type File hold contents, and a File comes as its content."""
     from .parser import parse_expression
 
     doc = document or Document()
-    return expression(parse_expression(text, doc), Env(doc, {k: Value(*v) for k, v in (env or {}).items()})).col
+    names = {k: Value(over_files(c, t, _contents(t, k)), t) for k, (c, t) in (env or {}).items()}
+    v = expression(parse_expression(text, doc), Env(doc, names))
+    return over_files(v.col, v.type, _released)
 
 
 __all__ = ["LIBRARY", "Env", "Value", "column", "expression", "ordered", "run"]

@@ -30,6 +30,13 @@ def read_contents(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def held_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, file) of the files under the root whose name matches: `file` is a File of the workflow language that carries its
+    content. Join it to the rows whose inputs name these paths."""
+    found = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(root, wholetext=True)
+    return found.select(F.col("_metadata.file_path").alias("path"), texts.held(F.col("_metadata.file_path"), F.col("value")).alias("file"))
+
+
 def write_contents(rows: DataFrame, path: str, content: str = "content") -> None:
     """Text files of the contents, one after the other; each ends in one line end, its own or one that is added."""
     rows.select(F.regexp_replace(content, r"\n\z", "").alias("value")).write.text(path)

@@ -1,5 +1,5 @@
 """Streams of task events."""
 
-from .monitor import fold_states, liveness, monitor, reconcile, state_rank, stale_sessions
+from .monitor import StateTable, fold_states, liveness, monitor, reconcile, state_rank, stale_sessions
 
-__all__ = ["fold_states", "liveness", "monitor", "reconcile", "stale_sessions", "state_rank"]
+__all__ = ["StateTable", "fold_states", "liveness", "monitor", "reconcile", "stale_sessions", "state_rank"]

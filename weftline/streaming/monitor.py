@@ -6,7 +6,7 @@ of arrival and keeps a bounded state a task: the first final state by event time
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,6 +41,25 @@ def monitor(events: DataFrame, name: str, checkpoint: str, **how) -> StreamingQu
     return out.outputMode("complete").format("memory").queryName(name).start()
 
 
+class StateTable:
+    """The newest state of each task in a folder, for `monitor`'s foreach_batch: a batch writes a version of its own, so a batch
+    that is run again writes the same. Nothing is held at the driver."""
+
+    def __init__(self, folder: str, key: str = "task"):
+        self.folder, self.key, self.versions = folder, key, set()
+
+    def __call__(self, changed: DataFrame, batch: int) -> None:
+        before = [v for v in self.versions if v < batch]
+        if before:
+            old = changed.sparkSession.read.schema(changed.schema).parquet(f"{self.folder}/{max(before)}")
+            changed = old.join(changed, self.key, "left_anti").unionByName(changed)
+        changed.write.mode("overwrite").parquet(f"{self.folder}/{batch}")
+        self.versions.add(batch)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/{max(self.versions)}")
+
+
 def reconcile(states: DataFrame, final: tuple[str, ...] = FINAL) -> DataFrame:
     """After the last event: tasks that never ended are canceled."""
     return states.withColumn("status", F.when(F.col("status").isin(*final), F.col("status")).otherwise("canceled"))

@@ -156,6 +156,33 @@ def common_type(a: Type, b: Type) -> Type:
     raise TypeMismatch(f"{a} and {b} have no type in common")
 
 
+#: A File is its path; one whose content is at hand has it behind this mark.
+MARK = "\0"
+
+
+def file_name(col: Column) -> Column:
+    """The path of a File."""
+    return F.substring_index(col, MARK, 1)
+
+
+def has_files(t: Type) -> bool:
+    return t.kind == "File" or any(map(has_files, t.args)) or any(has_files(m) for _, m in t.members)
+
+
+def over_files(col: Column, t: Type, f) -> Column:
+    """A value with f(file, its type) in place of each File within it (keys of maps are left alone)."""
+    if not has_files(t):
+        return col
+    if t.kind == "File":
+        return f(col, t)
+    if t.kind == "Array":
+        return F.transform(col, lambda x: over_files(x, t.args[0], f))
+    if t.kind == "Map":
+        return F.transform_values(col, lambda _, v: over_files(v, t.args[1], f))
+    parts = zip(("left", "right"), t.args) if t.kind == "Pair" else t.members
+    return F.when(col.isNotNull(), F.struct(*(over_files(col[n], x, f).alias(n) for n, x in parts)))
+
+
 def require(ok: Column, value: Column, message: str | Column) -> Column:
     """value where ok holds; else (and where ok is null) the query fails with the message when the row is computed."""
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message) if isinstance(message, str) else message))
@@ -169,6 +196,8 @@ def coerce(col: Column, a: Type, b: Type) -> Column:
         return col.cast(spark_type(b))  # a null, or a variant
     if a.kind == "Int" and b.kind == "Float":
         return col.cast("double")
+    if a.kind == "File" and b.kind != "File":
+        return file_name(col)
     if a.kind == "String" and b.kind == "Enum":
         known = col.isin([c for c, _ in b.choices])
         return require(known | col.isNull() if b.optional else known, col, f"not a choice of {b.name}")
@@ -195,18 +224,20 @@ def coerce(col: Column, a: Type, b: Type) -> Column:
 
 def same_layout(a: Type, b: Type) -> bool:
     """Whether a's Spark value is b's without any change or check."""
-    if b.kind == "Enum" and a.kind != "Enum" or b.nonempty and not a.nonempty:
+    if b.kind == "Enum" and a.kind != "Enum" or a.kind == "File" and b.kind != "File" or b.nonempty and not a.nonempty:
         return False
     if a.kind == "Union" or b.kind == "Union":
         return a.kind == b.kind
     x, y = spark_type(a).simpleString(), spark_type(b).simpleString()
-    return x == y and all(map(same_layout, a.args, b.args))
+    return x == y and all(map(same_layout, a.args, b.args)) and all(same_layout(m, n) for (_, m), (_, n) in zip(a.members, b.members))
 
 
 def rendered(col: Column, t: Type) -> Column:
     """A primitive as the text that string interpolation gives; floats with six decimals. Null stays null."""
     if t.kind == "Float":
         return F.when(F.isnan(col), "NaN").when(F.abs(col) == F.lit(float("inf")), F.when(col > 0, "inf").otherwise("-inf")).otherwise(F.format_string("%.6f", col)) if not t.optional else F.when(col.isNotNull(), rendered(col, t.required()))
+    if t.kind == "File":
+        return file_name(col)
     if t.primitive or t.kind == "Union":
         return col.cast("string")
     raise TypeMismatch(f"{t} can't be put into a string")
