@@ -93,6 +93,45 @@ def test_shards(spark, messy, nothing):
     assert all(r.text_crc32 == zlib.crc32(b"the same") for r in rows if r.doc_id % 3 == 0 and r.doc_id < 9000)
 
 
+def test_records_alike_in_text_and_id_are_dealt_over_shards(spark):
+    rows = spark.range(4_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 4 == 1, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    got = sharding.shard_by_bytes(rows).collect()
+    sums = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert len(got) == 4_000 and max(sums) - min(sums) <= 12
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_the_shards_are_those_of_the_law(spark):
+    rows = spark.createDataFrame([(i, f"{i} " * (1 + i * 7 % 40)) for i in range(700)], "doc_id long, text string")
+    got = sharding.shard_by_bytes(rows).orderBy("shard", "slot").collect()
+    total, before = sum(r.size for r in got), 0
+    for r in got:  # in order of shard and slot, a record lies in the shard that its exact byte offset names
+        assert r.shard == before * 8 // total
+        before += r.size
+
+
+def test_near_duplicates_need_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS", 5)
+    monkeypatch.setattr(neardup, "SHINGLES", 400)
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(3):
+        base = [f"w{x}" for x in rng.integers(0, 90, 60)]
+        for k in range(25):
+            rows.append((len(rows), " ".join(base)))
+            at = rng.integers(0, 60, 3)
+            base = [f"n{g}-{k}-{i}" if i in at else w for i, w in enumerate(base)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2)
+
+
+def test_near_dedup_stage_takes_columns_of_any_kind(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", {"k": "v"}), (1, "a b c d e f", {"k": "v"}), (2, "A b c d e f", {}), (None, "x", None), (3, None, {"z": None})], "doc_id long, text string, extra map<string,string>")
+    got = corpus_pipeline.near_dedup(spark, rows, "").collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got) == [(False, 0), (True, 1), (True, 3)]
+
+
 def test_the_mix_is_that_of_the_sql(spark, messy, tmp_path):
     messy.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").distinct().write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()

@@ -5,8 +5,9 @@
    a batch at a time and dropped once the posterior odds of reaching the threshold fall under MISS; what is left is verified
    on the full shingle sets. Connected components follow.
 3. Buckets that still hold several components may hide links that no star tested. Their members meet block by block: those
-   outside the bucket's main component against all others, under the same tests. Pairs live inside a block only; a block
-   gives the links that join components.
+   outside the bucket's main component against all others, under the same tests: signatures alone first, then the texts of
+   those members that still have a plausible partner in their block. Pairs live inside a block only; a block gives the links
+   that join components.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hashing import mixed, shingle_sets
-from .shared import components, cut, groups, small_batches, table
+from .shared import BATCH_ROWS, components, cut, groups, settings, table
 
 WORDS, PERCENT = 5, 80
 #: At similarity 0.8 a pair shares no bucket with odds (1 - 0.8**ROWS)**BANDS = 3e-6.
@@ -105,7 +106,7 @@ def _hopeful(least: np.ndarray, percent: int):
             pdf = pdf[100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)]
             if len(pdf):
                 keep = plausible(_bytes(pdf["sa"]), _bytes(pdf["sb"]), least)
-                yield pdf.iloc[keep][["a", "b", "nb"]]
+                yield pdf.iloc[keep][["a", "b", "parts"]]
 
     return run
 
@@ -133,14 +134,47 @@ def _stars(words: int, percent: int):
     return run
 
 
+class _Block:
+    """Members of one block cell, those of the left side first: who may be a partner of whom, by labels, sizes, bands and signatures."""
+
+    def __init__(self, g: pd.DataFrame, percent: int, least: np.ndarray):
+        self.ids, self.label, self.n, self.sig = g["id"].to_numpy(), g["label"].to_numpy(), g["n"].to_numpy(), _bytes(g["sig"])
+        self.bands, self.right = np.stack(g["bands"].to_numpy()), g["side"].to_numpy() == 1
+        self.within, self.percent, self.least = g["i"].iloc[0] == g["j"].iloc[0], percent, least
+
+    def left(self) -> np.ndarray:
+        return np.nonzero(~self.right)[0]
+
+    def partners(self, x: int, now: np.ndarray) -> np.ndarray:
+        """Of member x, under the labels `now`."""
+        n, after = self.n, np.arange(len(self.n)) > x
+        at = np.nonzero((now != now[x]) & (100 * np.minimum(n, n[x]) >= self.percent * np.maximum(n, n[x])) & (after if self.within else self.right))[0]
+        at = at[(self.bands[at] == self.bands[x]).any(axis=1)] if len(at) else at
+        return at[plausible(self.sig[x : x + 1], self.sig[at], self.least)] if len(at) else at
+
+
+def _hopeful_members(percent: int, least: np.ndarray):
+    """Of each block cell the members that have a plausible partner there: only their texts are needed."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(frames, ["g", "i", "j"]):
+            g = g.drop_duplicates("id")
+            block, keep = _Block(g, percent, least), np.zeros(len(g), dtype=bool)
+            for x in block.left():
+                at = block.partners(x, block.label)
+                keep[at] = True
+                keep[x] |= len(at) > 0
+            if keep.any():
+                yield g.loc[keep, ["g", "i", "j", "id", "label", "side"]]
+
+    return run
+
+
 def _blocks(words: int, percent: int, least: np.ndarray):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(frames, ["g", "i", "j"]):
             g = g.drop_duplicates("id")
-            ids, label, n, sig = g["id"].to_numpy(), g["label"].to_numpy(), g["n"].to_numpy(), _bytes(g["sig"])
-            bands, right = np.stack(g["bands"].to_numpy()), g["side"].to_numpy() == 1
-            sets = shingle_sets(g["text"].tolist(), words)
-            within = g["i"].iloc[0] == g["j"].iloc[0]
+            block, sets = _Block(g, percent, least), shingle_sets(g["text"].tolist(), words)
             root: dict = {}
 
             def top(x):
@@ -149,18 +183,14 @@ def _blocks(words: int, percent: int, least: np.ndarray):
                 return x
 
             u, v = [], []
-            for x in np.nonzero(~right)[0]:
-                now = np.array([top(y) for y in label])
-                ok = (now != now[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((np.arange(len(g)) > x) if within else right)
-                at = np.nonzero(ok)[0]
-                at = at[(bands[at] == bands[x]).any(axis=1)] if len(at) else at
-                at = at[plausible(sig[x : x + 1], sig[at], least)] if len(at) else at
+            for x in block.left():
+                at = block.partners(x, np.array([top(y) for y in block.label]))
                 if len(at):
                     for y in at[_linked(sets[x], [sets[k] for k in at], percent)]:
-                        p, q = top(label[x]), top(label[y])
+                        p, q = top(block.label[x]), top(block.label[y])
                         if p != q:
                             root[max(p, q)] = min(p, q)
-                            u.append(ids[x]), v.append(ids[y])
+                            u.append(block.ids[x]), v.append(block.ids[y])
             if u:
                 yield pd.DataFrame({"u": u, "v": v})
 
@@ -181,7 +211,6 @@ def _with_text(sent: DataFrame, docs: DataFrame) -> DataFrame:
     A Bloom filter of the ids (a few MB, whatever the input; Spark's own runtime filter) keeps most texts that nobody asks for
     out of the shuffle.
     """
-    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     return sent.where("side >= 0").join(docs.withColumnRenamed("doc_id", "id"), "id")
 
 
@@ -191,10 +220,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z as a-z; a text's set holds its distinct shingles of `words` words (fewer words: one
     shingle of all; null, empty or blank: none). Texts are linked if 100 * common >= percent * united; component_id is the
     least doc_id reachable by links and kept says whether it is the row's own. Sets are held by 64-bit hashes of shingles.
-    Empty sets are linked with nothing. Rows of one id are one document; rows without an id stand alone, kept, with a null
+    Empty sets are linked with nothing. Ids are integers (text that isn't one fails the query). Rows of one id are one document; rows without an id stand alone, kept, with a null
     component_id. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold=0):
+        return _near_duplicates(docs, words, percent, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     least = least_matches(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(docs.mapInPandas(_signed(words), "doc_id long, n long, fp binary, bands array<long>, sig binary"))
@@ -204,16 +237,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     whole = signed.where(has).select("doc_id", "n", "fp").join(classes.select("fp", F.col("id").alias("rep")), "fp").drop("fp")
     reps = classes.drop("fp")
 
-    keys = reps.select("id", F.explode("bands").alias("key"))
-    centres = cut(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("centre")).where("size > 1"))
-    members = cut(keys.join(centres, "key"))
+    keys = reps.select("id", "n", F.explode("bands").alias("key"))
+    centres = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("held"), F.min("id").alias("centre")).where("size > 1")
+    # a centre has a bucket a band at most; what they hold together bounds its star, which is dealt over as many parts
+    centres = centres.withColumn("parts", _parts(F.sum("size").over(Window.partitionBy("centre")), F.sum("held").over(Window.partitionBy("centre")), MEMBERS))
+    members = cut(keys.drop("n").join(cut(centres).drop("held"), "key"))
 
-    stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), "parts").distinct()
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    hopeful = cut(stars.join(side("b"), "b").join(side("a"), "a").mapInPandas(_hopeful(least, percent), "a long, b long, nb long"))
-    centred = hopeful.groupBy("a").agg(_parts(F.count("*"), F.sum("nb"), MEMBERS).alias("parts"))
-    sent = hopeful.join(centred, "a").select(F.col("a").alias("g"), _pick("b", F.col("parts")).alias("s"), F.col("b").alias("id"), F.lit(1).alias("side"))
-    sent = sent.unionByName(centred.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.col("a").alias("id"), F.lit(0).alias("side")))
+    hopeful = cut(stars.join(side("b"), "b").join(side("a"), "a").mapInPandas(_hopeful(least, percent), "a long, b long, parts int"))
+    sent = hopeful.select(F.col("a").alias("g"), _pick("b", F.col("parts")).alias("s"), F.col("b").alias("id"), F.lit(1).alias("side"))
+    sent = sent.unionByName(sent.select("g", "s", F.col("g").alias("id"), F.lit(0).alias("side")).distinct())
     links = cut(_with_text(cut(sent), docs).repartition("g", "s").sortWithinPartitions("g", "s", "side").mapInPandas(_stars(words, percent), "u long, v long"))
     labels = components(links)
 
@@ -237,7 +271,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         )
     )
     met = rest.select("g", "id", "label", F.explode(cells).alias("x")).select("g", "id", "label", "x.i", "x.j", "x.side")
-    met = _with_text(cut(met), docs).join(reps, "id").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
+    dealt = lambda x: x.join(reps, "id").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
+    met = cut(dealt(met).mapInPandas(_hopeful_members(percent, least), "g long, i int, j int, id long, label long, side int"))
+    met = dealt(_with_text(met, docs))
     more = met.mapInPandas(_blocks(words, percent, least), "u long, v long")
 
     held = lambda x, y: labels.select(F.col("node").alias(x), F.col("label").alias(y))
