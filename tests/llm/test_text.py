@@ -1,7 +1,10 @@
 """Tokens, secrets, licences, languages and quality, against brute force, round trips or held-out accuracy."""
 
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -26,6 +29,18 @@ def test_bpe_equals_the_library_at_any_chunk(spark, messy, nothing):
     assert one[140].n_tokens > 10_000
 
 
+def test_long_texts_of_other_scripts_are_parted(spark):
+    rng = np.random.default_rng(3)
+    text = "".join("".join(map(chr, rng.integers(0x4E00, 0x9FA5, rng.integers(3, 30)))) + rng.choice(["，", "。", "！"]) for _ in range(400))
+    vocab = bpe.default_vocabulary(spark)
+    at = spark.createDataFrame([(text,)], "t string").select(bpe._boundaries(vocab, len(text))("t").alias("at")).first().at
+    assert len(at) > 300
+    enc = bpe.built(vocab.value)[0]
+    docs = spark.createDataFrame([(1, text), (2, text.replace("。", "")[:3_000] + "\U0001fae8's x"), (3, "漢" * 5_000)], "doc_id int, text string")
+    for r in bpe.encode(docs, vocab, chunk=500, overlap=100).collect():
+        assert r.ids == enc.encode_ordinary(r.text)
+
+
 def test_secrets(spark, messy, nothing):
     got = secrets.secret_spans(messy).collect()
     assert len(got) == len(messy_rows())
@@ -72,6 +87,40 @@ def test_what_base_spans_leave_of_a_run_is_tested(spark):
     assert list(secrets.pieces(0, 10, [(2, 4, 0), (3, 5, 1), (3, 4, 2), (8, 12, 0)])) == [(0, 2), (5, 8)]
 
 
+def test_the_battery_against_chance():
+    # odds under the null are near even for random strings, and what isn't even or free is turned down
+    rng = np.random.default_rng(4)
+    for name, n in (("hex", 24), ("base32", 40), ("base36", 32), ("base64", 64)):
+        size = len(secrets.ALPHABETS[name])
+        draws = rng.integers(0, size, (4_000, n))
+        for odds in (lambda x: secrets.uniformity(x, size), lambda x: secrets.runs(x, size), secrets.serial):
+            p = np.array([odds(x) for x in draws])
+            for level in (0.05, 0.01):
+                assert (p < level).mean() <= 1.6 * level
+        steps = np.cumsum(rng.integers(0, 2, n)) % size
+        assert secrets.serial(steps) < 1e-3 and secrets.uniformity(np.zeros(n, dtype=int), size) < 1e-9
+        assert secrets.runs(np.repeat([0, size - 1], n // 2), size) < 1e-3
+    # the runs test against all arrangements of five high and five low symbols
+    every = [np.array(x) for x in set(permutations([0] * 5 + [1] * 5))]
+    count = lambda x: 1 + int((x[1:] != x[:-1]).sum())
+    for few in (2, 4):
+        x = next(x for x in every if count(x) == few)
+        exact = 2 * np.mean([count(y) <= few for y in every])
+        assert secrets.runs(x, 2) == pytest.approx(exact, rel=0.75, abs=0.01)
+    assert [secrets.ENCODINGS[secrets.encoding(x)] for x in ("0123", "0a", "0A", "QA27==", "az09", "AZ09", "a-_Z")] == ["decimal", "hex", "HEX", "base32", "base36", "BASE36", "base64"]
+
+
+def test_planted_random_strings_and_names(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda name, n: "".join(rng.choice(list(secrets.ALPHABETS[name]), n))
+    planted = {"base64": 40, "HEX": 40, "base36": 64}
+    rows = [(i, f"see {draw(name, n)} here") for i, (name, n) in enumerate([x for x in planted.items() for _ in range(60)])]
+    parts = "house river stone config service manager factory value request handler user list index path".split()
+    rows += [(1_000 + i, " ".join(["_".join(f"{rng.choice(parts)}{rng.integers(9)}" for _ in range(5)), "/".join(rng.choice(parts, 6)), "".join(x.title() for x in rng.choice(parts, 5))])) for i in range(300)]
+    got = {r.doc_id: [s for s in r.spans if s.at == 3] for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(got[i]) for i in range(180)) >= 0.95 * 180 and sum(len(got[1_000 + i]) for i in range(300)) <= 9
+
+
 def test_false_discovery_cutoffs(spark):
     # 90 draws as chance gives them and ten far beyond: the ten are found
     rows = [(1, int(-np.log10((i + 0.5) / 90) * secrets.STEPS)) for i in range(90)] + [(1, 60)] * 10
@@ -166,6 +215,57 @@ def test_every_language_teaches(spark, monkeypatch):
     assert set(langid.sample_texts(same)) == {"same", "x"}
 
 
+def plain_code_length(text, sample, order=langid.ORDER):
+    """Bits of the text under PPM of method C with exclusion, from plain counts of the sample's texts."""
+    counts = [defaultdict(Counter) for _ in range(order + 1)]
+    for t in sample:
+        raw = bytes(order) + langid.folded(t)
+        for i in range(order, len(raw)):
+            for k in range(order + 1):
+                counts[k][raw[i - k : i]][raw[i]] += 1
+    raw, total = bytes(order) + langid.folded(text), 0.0
+
+    def odds(context, byte, k):
+        if k < 0:
+            return 1 / 256
+        seen = counts[k][context]
+        n, kinds = sum(seen.values()), len(seen)
+        if not n:
+            return odds(context[1:], byte, k - 1)
+        if byte in seen:
+            return seen[byte] / (n + kinds)
+        left = 1 - sum(odds(context[1:], b, k - 1) for b in seen)
+        return kinds / (n + kinds) * odds(context[1:], byte, k - 1) / left
+
+    for i in range(order, len(raw)):
+        total -= math.log2(odds(raw[i - order : i], raw[i], order))
+    return total
+
+
+def test_predictions_are_those_of_plain_ppm(spark):
+    sample = {lang: [sentence(lang, i, 12) for i in range(6)] for lang in WORDS}
+    texts = [sentence(lang, 100 + i, 8) for lang in WORDS for i in range(3)] + ["Zwölf x", "é", "a"]
+    got = langid.predicted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), langid.forest(sample)).collect()
+    for r in got:
+        bits = {lang: plain_code_length(r.text, s) / len(langid.folded(r.text)) for lang, s in sample.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert r.lang_pred == best and r.bits_per_byte == pytest.approx(bits[best], rel=1e-9)
+        assert r.score == pytest.approx(2 ** -bits[best] / sum(2**-b for b in bits.values()), rel=1e-6)
+
+
+def test_many_languages_are_judged_in_parts(spark, monkeypatch):
+    sample = {lang: [sentence(lang, i, 12) for i in range(6)] for lang in WORDS}
+    docs = spark.createDataFrame([(i, sentence(lang, 50 + i, 9)) for i, lang in enumerate([*WORDS] * 3)], "doc_id long, text string")
+    want = langid.predicted(docs, langid.forest(sample)).orderBy("doc_id").collect()
+    monkeypatch.setattr(langid, "TOGETHER", 2)
+    assert len(langid.forest(sample)) == 2
+    got = langid.predicted(docs, langid.forest(sample)).orderBy("doc_id").collect()
+    assert [(r.lang_pred, round(r.score, 9)) for r in got] == [(r.lang_pred, round(r.score, 9)) for r in want]
+    # a filter on the outcome judges each text once
+    plan = langid.predicted(docs, langid.forest(sample)).where("bits_per_byte < 7 and lang_pred <> 'und'")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[", plan)) == 1
+
+
 def test_code_lengths_are_those_of_a_distribution():
     trees = langid.learned({"a": ["abracadabra abra"], "b": ["the cat sat"]})
     contexts = [b"abra", b"\0\0\0\0", b"zzzz", b"cada"]
@@ -186,7 +286,37 @@ def test_quality(spark, messy, nothing):
     own = quality.judged(quality.evidence(messy, w).select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "evidence")).collect()
     assert len(own) == len(messy_rows()) and all(0 <= r.quality <= 1 for r in own)
     assert quality.judged(quality.evidence(nothing, w).select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "evidence")).collect() == []
-    assert not quality.fitted([], []).any() and not quality.fitted(["a"], [1]).any()
+    assert not quality.fitted([], []).any() and not quality.fitted(list(quality._features(["a"])), [1]).any()
+
+
+def test_rates_are_those_of_plain_shrinkage(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"h{h}", f"h{h}/{rng.integers(3)}", float(rng.normal(h % 3 - 1, 1))) for i, h in enumerate(rng.integers(0, 9, 400))]
+    rows += [(900, None, None, 1.0), (901, "h1", None, None)]
+    docs = spark.createDataFrame([(*r, 5, "x", "y") for r in rows], "doc_id long, host string, path string, evidence double, p int, path_rate string, _host string")
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    p = lambda e: 1 / (1 + math.exp(-(e or 0.0)))
+    sums = lambda key: {k: (sum(p(r[3]) for r in rows if key(r) == k), sum(key(r) == k for r in rows)) for k in map(key, rows)}
+    host, path = lambda r: r[1] or "", lambda r: (r[1] or "", r[2] or "")
+    rate = sum(p(r[3]) for r in rows) / len(rows)
+
+    def strength(groups, mean):
+        n = {k: v[1] for k, v in groups.items()}
+        spread = sum(n[k] * (g / n[k] - mean(k)) ** 2 for k, (g, _) in groups.items())
+        noise = sum(mean(k) * (1 - mean(k)) for k in groups)
+        return min(1e6, max(1.0, noise / len(groups) / max(1e-4, (spread - noise) / sum(n.values()))))
+
+    hosts, paths = sums(host), sums(path)
+    s = strength(hosts, lambda k: rate)
+    host_rate = {k: (g + s * rate) / (n + s) for k, (g, n) in hosts.items()}
+    s = strength(paths, lambda k: host_rate[k[0]])
+    path_rate = {k: (g + s * host_rate[k[0]]) / (n + s) for k, (g, n) in paths.items()}
+    logit = lambda x: math.log(x / (1 - x))
+    for r in rows:
+        own = got[r[0]]
+        assert own.host_rate == pytest.approx(host_rate[host(r)]) and own.path_rate == pytest.approx(path_rate[path(r)])
+        assert own.quality == pytest.approx(p((r[3] or 0.0) + quality.TRUST * (logit(path_rate[path(r)]) - logit(rate))))
+        assert own.p == 5 and own._host == "y"
 
 
 def test_sparse_sites_shrink(spark):

@@ -1,11 +1,15 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with control of false discoveries.
 
-Beside the patterns' spans, every run of RUN or more characters of the base-64 alphabets is a candidate. Its encoding is
-inferred, and three tests ask how unlike written text in that alphabet it is: pairs of equal characters (the chi-squared
-statistic against a uniform alphabet, read against text), runs (changes of character class), and serial correlation
-(vowels and consonants in turn; for hex the lag-1 correlation of digits). Fisher's method combines them. Runs of more than
-WHOLE characters are tested in windows that overlap by half, each a candidate of its own. All candidates of all documents then go through Benjamini-Hochberg, within strata of encoding and length so that the many short words don't
-decide about long strings; p-values are counted in bins, so that a stratum is a bounded histogram.
+Beside the patterns' spans, every run of RUN or more characters of the base-64 alphabets is a candidate. Its encoding is the
+least alphabet that holds it. The battery asks whether its characters are drawn evenly and freely from that alphabet:
+chi-squared uniformity, the runs test (above and below the alphabet's middle) and lag-1 serial correlation, joined by Fisher's
+method. What the battery turns down (odds under REJECT) is no secret. Written text that is short passes it at times, so the
+rest has to be unlike text as well: the chi-squared statistic, changes of character class and the turns between vowels and
+consonants are read against what written text gives, and these p-values go through Benjamini-Hochberg over all documents,
+within strata of encoding and length, so that the many short words don't decide about long strings. What the battery turned
+down stays in its stratum with p = 1. P-values are counted in bins, so that a stratum is a bounded histogram.
+
+Runs of more than WHOLE characters are tested in windows that overlap by three quarters, each a candidate of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import cut, small_batches, table
 
 KINDS = ("assign", "access", "hex")
 ADDED = "random"
@@ -33,12 +37,25 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % RUN)
 WHOLE, WINDOW = 400, 100
 #: Share of false discoveries allowed in a stratum, and -log10 p in steps of 1 / STEPS up to MOST.
 FALSE, STEPS, MOST = 1e-3, 4, 60
-#: What written text does: share of adjacent characters that change class; of adjacent letters that change between vowel and consonant.
-_CHANGE, _TURN, _NEAR = 0.08, 0.62, 0.5
+#: Odds at which the battery turns down a string that is random.
+REJECT = 1e-4
+#: What written text and names do: share of adjacent characters that change class by encoding (names of base 64 have capitals,
+#: digits and marks); of adjacent letters that change between vowel and consonant; correlation of hex digits.
+_CHANGE, _TURN, _NEAR = {"decimal": 0.08, "hex": 0.08, "HEX": 0.08, "base32": 0.15, "base36": 0.15, "BASE36": 0.15, "base64": 0.3}, 0.62, 0.5
 _LETTERS = np.array([8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.07])
 _TEXT = np.concatenate([_LETTERS / _LETTERS.sum() * 0.92, _LETTERS / _LETTERS.sum() * 0.05, np.full(10, 0.002), np.full(4, 0.0025)])
 _DIGITS = np.concatenate([np.full(10, 0.03), np.array([0.25, 0.05, 0.09, 0.13, 0.39, 0.07]) / 0.98 * 0.7])
-ENCODINGS = ("hex", "base32", "base64")
+#: Alphabets, least first: each a string of its symbols in order of their values.
+ALPHABETS = {
+    "decimal": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+ENCODINGS = tuple(ALPHABETS)
+_HEXLIKE = ("decimal", "hex", "HEX")
+_SYMBOLS = [set(x) for x in ALPHABETS.values()]
+_VALUE = [{c: i for i, c in enumerate(x)} for x in ALPHABETS.values()]
+#: The URL-safe pair stands for the two last symbols of base 64.
+_URL = str.maketrans("-_", "+/")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -53,9 +70,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def encoding(s: str) -> int:
-    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
-        return 0
-    return 1 if re.fullmatch("[A-Z2-7]+=*", s) and re.search("[2-7]", s) else 2
+    """The place in ENCODINGS of the least alphabet that holds s (less `=` at its end)."""
+    have = set(s.rstrip("=").translate(_URL))
+    return next(i for i, x in enumerate(_SYMBOLS) if have <= x)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -68,29 +85,78 @@ def _normal(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def uniformity(x: np.ndarray, size: int) -> float:
+    """Odds of a chi-squared statistic of the symbols' counts as large as this, or larger, if all `size` symbols are alike
+    (the Wilson-Hilferty form of the distribution)."""
+    stat, free = size / len(x) * float((np.bincount(x, minlength=size).astype(float) ** 2).sum()) - len(x), size - 1
+    z = ((max(stat, 0.0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    return _normal(-z)
+
+
+def runs(x: np.ndarray, size: int) -> float:
+    """Two-sided odds of the number of runs above and below the alphabet's middle, given how many symbols lie on each side."""
+    high = x * 2 >= size
+    n, a = len(x), int(high.sum())
+    b = n - a
+    if not a or not b:
+        return 2.0 ** (1 - n)  # one run: odds of n symbols on one side
+    mean = 1 + 2 * a * b / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    off = max(0.0, abs(1 + int((high[1:] != high[:-1]).sum()) - mean) - 0.5)
+    return min(1.0, 2 * _normal(-off / math.sqrt(var))) if var > 0 else 1.0
+
+
+def serial(x: np.ndarray) -> float:
+    """Two-sided odds of the lag-1 correlation of the symbols' values; a constant string has the correlation 1."""
+    n, y = len(x), x - x.mean()
+    r = float((y[1:] * y[:-1]).sum() / (y * y).sum()) if y.any() else 1.0
+    return min(1.0, 2 * _normal(-abs(r + 1 / n) * math.sqrt(n)))
+
+
+def fisher(odds: list[float]) -> float:
+    """Fisher's joint odds of three independent p-values (a chi-squared tail of six degrees)."""
+    half = -sum(math.log(max(p, 1e-100)) for p in odds)
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def random_odds(s: str) -> float:
+    """The battery: odds that a random string of s's encoding and length looks no more even and free than s."""
+    kind = encoding(s)
+    x = np.array([_VALUE[kind][c] for c in s.rstrip("=").translate(_URL)])
+    size = len(_VALUE[kind])
+    return fisher([uniformity(x, size), runs(x, size), serial(x)])
+
+
 def text_odds(s: str) -> float:
-    """Combined p-value of `s` (WHOLE characters at most, which keeps the sums finite) being written text: small for random strings."""
-    kind, s = encoding(s), s.rstrip("=")
+    """Odds that written text looks as random as `s` (WHOLE characters at most, which keeps the sums finite)."""
+    kind, s = ENCODINGS[encoding(s)], s.rstrip("=")
+    hexlike = kind in _HEXLIKE
     n = len(s)
-    q = _DIGITS if kind == 0 else _TEXT / _TEXT.sum()
-    code = [int(c, 16) if kind == 0 else ord(c) for c in s]
+    q = _DIGITS if hexlike else _TEXT / _TEXT.sum()
+    code = [int(c, 16) if hexlike else ord(c) for c in s]
     counts = np.unique(code, return_counts=True)[1].astype(float)
-    pairs, all_pairs = (counts * (counts - 1)).sum() / 2, n * (n - 1) / 2
+    pairs, all_pairs = (counts * (counts - 1)).sum() / 2, n * (n - 1) / 2  # chi-squared is linear in the pairs of equal symbols
     k2, k3 = (q**2).sum(), (q**3).sum()
     sd = math.sqrt(all_pairs * k2 * (1 - k2) + n * (n - 1) * (n - 2) * (k3 - k2 * k2))
     even = _normal((pairs - all_pairs * k2) / sd)
     classes = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in s]
-    runs = _binomial(n - 1, _CHANGE, sum(a != b for a, b in zip(classes, classes[1:])))
-    if kind == 0:
+    change = _binomial(n - 1, _CHANGE[kind], sum(a != b for a, b in zip(classes, classes[1:])))
+    if hexlike:
         x = np.array(code, dtype=float)
         r = float(np.corrcoef(x[:-1], x[1:])[0, 1]) if x[:-1].std() and x[1:].std() else 1.0
-        serial = _normal((r - _NEAR) * math.sqrt(n - 1))
+        turn = _normal((r - _NEAR) * math.sqrt(n - 1))
     else:
         letters = [(a.lower() in "aeiouy", b.lower() in "aeiouy") for a, b in zip(s, s[1:]) if a.isalpha() and b.isalpha()]
         turns = sum(a != b for a, b in letters)
-        serial = _binomial(len(letters), 1 - _TURN, len(letters) - turns)
-    half = -sum(math.log(max(p, 1e-40)) for p in (even, runs, serial))
-    return math.exp(-half) * (1 + half + half * half / 2)
+        turn = _binomial(len(letters), 1 - _TURN, len(letters) - turns)
+    return fisher([max(p, 1e-40) for p in (even, change, turn)])
+
+
+def odds(s: str, window: bool = False) -> float:
+    """The p-value that goes into the control of false discoveries: 1 for what the battery turns down. A window may end within
+    a random string: it stands if either of its halves does."""
+    half = len(s) // 2
+    return text_odds(s) if any(random_odds(x) >= REJECT for x in ((s, s[:half], s[half:]) if window else (s,))) else 1.0
 
 
 def stratum(s: str) -> int:
@@ -99,11 +165,11 @@ def stratum(s: str) -> int:
 
 
 def windows(start: int, end: int) -> Iterator[tuple[int, int]]:
-    """The run itself, or windows of at most WINDOW characters that cover it, each overlapping the next by half of WINDOW."""
+    """The run itself, or windows of at most WINDOW characters that cover it, each overlapping the next by three quarters of WINDOW."""
     if end - start > WHOLE:
         while end - start > WINDOW:
             yield start, start + WINDOW
-            start += WINDOW // 2
+            start += WINDOW // 4
     yield start, end
 
 
@@ -126,7 +192,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             if len(text[start:end].rstrip("=")) < RUN:
                 continue
             for a, b in windows(start, end):
-                p = text_odds(text[a:b])
+                p = odds(text[a:b], window=(a, b) != (start, end))
                 out.append((a, b, stratum(text[a:b]), min(MOST * STEPS, int(-math.log10(max(p, 1e-300)) * STEPS))))
     return out
 
@@ -181,17 +247,18 @@ def _spans(base: Column, cand: Column, cut: dict[int, int]) -> Column:
     return F.sort_array(F.concat(named, F.transform(added, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("at"), c["end"].alias("end")))))
 
 
-def secret_spans(docs: DataFrame, text_col: str = "text", out: str = "spans", false: float = FALSE) -> DataFrame:
+def secret_spans(docs: DataFrame, text_col: str = "text", out: str = "spans", false: float = FALSE, keep_text: bool = True) -> DataFrame:
     """docs with `out`: array of (start, at, end) by start, then `at` (the place in KINDS; 3 for what the battery adds).
 
-    Offsets are code points, ends exclusive. Null and empty texts have no spans. Two passes: one for the histogram of
-    p-values over all documents, one that applies its cutoffs. A column named `out` is replaced, others are kept.
+    Offsets are code points, ends exclusive. Null and empty texts have no spans. Each text is scanned once: what was found is
+    written, the histogram of p-values over all documents is taken from it, and then its cutoffs apply. Without keep_text the
+    text goes, and only what was found is written. A column named `out` is replaced, others are kept.
     """
     small_batches(docs.sparkSession)
-    cand = docs.select(F.explode(_scanned(F.col(text_col))["cand"]).alias("c")).select("c.stratum", "c.bin")
-    cut = cutoffs(cand, false)
-    found = docs.drop(out).withColumn("_found", _scanned(F.col(text_col)))
-    return found.withColumn(out, _spans(F.col("_found.base"), F.col("_found.cand"), cut)).drop("_found")
+    found = docs.drop(*{out} - {text_col}).withColumn("_found", _scanned(F.col(text_col)))
+    found = cut(found if keep_text else found.drop(text_col))
+    cand = found.select(F.explode("_found.cand").alias("c")).select("c.stratum", "c.bin")
+    return found.withColumn(out, _spans(F.col("_found.base"), F.col("_found.cand"), cutoffs(cand, false))).drop("_found")
 
 
 def _told(spans: Column) -> Column:
@@ -221,7 +288,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fa
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     base = F.filter("spans", lambda x: x["at"] < len(KINDS))
     count = lambda k: F.size(F.filter("spans", lambda x: x["at"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(_told(base).cast("binary"), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))
