@@ -19,7 +19,7 @@ SHARE, EPOCHS, SEED = 0.6, 2, "mix-1"
 DOMAIN_WEIGHTS = {"web": 5.0, "books": 3.0, "code": 2.0}
 LANG_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
 #: Documents of a leaf that meet in one task, on average.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 
 
 def source_domain(source: Column) -> Column:
