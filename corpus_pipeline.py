@@ -6,6 +6,8 @@ columns of documents (doc_id, text, lang, source, n_chars, in the order they cam
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of least doc_id. Rows without an id all stay; of rows that
-    share an id one stays (the least by its columns)."""
+    share an id one stays (that of the least hash of its columns, maps and variants left out)."""
+    plain = [f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rest = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    rest = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("_row"))
     return rest.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
