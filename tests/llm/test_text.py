@@ -189,6 +189,45 @@ def test_repeated_copies_with_a_changed_first_word_are_all_found():
                 assert got == [" ".join(words[1:])] * n
 
 
+def windows_that_match(words, template, need):
+    """Whether any window of the text, aligned with the template, covers it."""
+    reach = licenses.STRETCH * len(template)
+    for i in range(len(words)):
+        for j in range(i + need, min(len(words), i + reach) + 1):
+            m = licenses.aligned(words[i:j], template)
+            if len(m) >= need and m[-1][0] - m[0][0] < reach:
+                return True
+    return False
+
+
+def test_no_window_that_matches_is_missed():
+    rng = np.random.default_rng(6)
+    pick = lambda x: x[rng.integers(len(x))]
+    hits = 0
+    for _ in range(250):
+        name = pick(["gpl-3.0-notice", "apache-2.0-notice", "mit-notice"])
+        template = licenses.tokens(licenses.TEMPLATES[name])[0]
+        need = licenses.needed(template, licenses.COVERAGE)
+        noise = lambda: [pick(["aa", "bb", pick(template)]) for _ in range(rng.integers(12))]
+        words = noise()
+        for _ in range(rng.integers(1, 4)):  # copies with words changed, lost and put in
+            copy = list(template)
+            for _ in range(rng.integers(len(template) - need + 3)):
+                k = int(rng.integers(len(copy)))
+                copy[k : k + 1] = pick([["zz"], [], [copy[k], "zz"], [pick(template)]])
+            words += copy + noise()
+        if windows_that_match(words, template, need):
+            hits += 1
+            assert found_licences(" ".join(words), {name: licenses.TEMPLATES[name]}), words
+    assert hits > 150
+    a, b = [[int(x) for x in rng.integers(0, 6, 30)] for _ in range(2)]
+    table = np.zeros((31, 31), dtype=int)
+    for i in range(30):
+        for j in range(30):
+            table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+    assert licenses.common(a, b) == table[-1, -1]
+
+
 def test_languages(spark, messy, nothing):
     rows = [(i, sentence(lang, i, 30), lang) for lang, k in zip(WORDS, (0, 1000, 2000)) for i in range(k, k + 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

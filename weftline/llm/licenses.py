@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, table
 
-#: Short notices and grants, by name; all are public licence wordings.
+#: Notices, grants and disclaimers by name, fixed values: all are public licence wordings.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -29,6 +29,13 @@ TEMPLATES = {
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mit-warranty": "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    "bsd-warranty": "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    "isc-warranty": "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 #: Least coverage of a template, and the most text words that an alignment may span for each template word.
@@ -171,13 +178,46 @@ def _copies(words: list[str], begin: int, end: int, template: list[str], rare: s
         i += 1
 
 
+def common(words: list[str], template: list[str]) -> int:
+    """The length of the longest common subsequence, which no alignment exceeds; a bit for each word of the template."""
+    bits: dict[str, int] = {}
+    for k, w in enumerate(template):
+        bits[w] = bits.get(w, 0) | 1 << k
+    whole = (1 << len(template)) - 1
+    free = whole
+    for w in words:
+        if u := free & bits.get(w, 0):
+            free = (free + u | free - u) & whole
+    return len(template) - free.bit_count()
+
+
+def _windows(words: list[str], begin: int, end: int, template: list[str], need: int) -> Iterator[list[tuple[int, int]]]:
+    """Alignments of windows of a stretch, from left to right: where repeats mislead the anchors of wider parts, every window that
+    begins and ends with a word of the template is tried, the longest first. Most starts have too few common words for it."""
+    reach, counts = STRETCH * len(template), Counter(template)
+    at = [k for k in range(begin, end) if words[k] in counts]
+    i = 0
+    while i < len(at):
+        k = at[i]
+        hi = bisect_left(at, min(end, k + reach))
+        i += 1
+        if hi - i + 1 < need or common(words[k : at[hi - 1] + 1], template) < need:
+            continue
+        for j in range(hi - 1, i + need - 3, -1):
+            m = aligned(words[k : at[j] + 1], template)
+            if len(m) >= need:
+                yield [(k + x, y) for x, y in m]
+                i = bisect_left(at, k + m[-1][0] + 1)
+                break
+
+
 def _rank(m: list[tuple[int, int]]) -> tuple[int, int]:
     return len(m), m[0][0] - m[-1][0]
 
 
 def licences(text: str, templates: dict[str, list[str]], rare: dict[str, set[str]], coverage: float = COVERAGE) -> list[dict]:
     """Templates found in the text: name, coverage, start and end. Every stretch of the text that can hold one is aligned;
-    within it, occurrences are taken from left to right. A notice inside a longer licence found at the same place gives way."""
+    within it, occurrences are taken from left to right; where none is found so, every window is tried. A notice inside a longer licence found at the same place gives way."""
     words, places = tokens(text)
     have = set(words)
     out = []
@@ -197,7 +237,7 @@ def licences(text: str, templates: dict[str, list[str]], rare: dict[str, set[str
                 span = met[-1][0] - met[0][0] + 1 if met else 0
                 if len(met) < need or span > STRETCH * len(template):
                     # several copies leave no word unique: look again around each place of a rare word
-                    for m in _copies(words, b, e, template, rare[name], need):
+                    for m in [*_copies(words, b, e, template, rare[name], need)] or _windows(words, b, e, template, need):
                         out.append({"license": name, "coverage": len(m) / len(template), "start": places[m[0][0]][0], "end": places[m[-1][0]][1]})
                     continue
                 first, last = b + met[0][0], b + met[-1][0]
