@@ -24,7 +24,7 @@ SAMPLE, FEATURES, PASSES, STEP, PENALTY = 6_000, 1 << 14, 150, 1.0, 1e-3
 #: How far a group's log odds count beside the document's own evidence.
 TRUST = 0.5
 #: Posterior under which a document is turned away.
-KEEP = 0.3
+KEEP = 0.5
 
 
 def _features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
