@@ -128,3 +128,34 @@ def test_assertions(spark):
     assert assertions.checked(rows, good, text=("s",)).first().passed
     got = assertions.checked(rows, {"xs": [("Equals", [1]), ("First", ("Equals", 2))], "n": [("Defined", True), ("Equals", 1)]}).first()
     assert not got.passed and got.failed == ["xs: Equals", "xs: First", "n: Defined", "n: Equals"]
+
+
+def test_cancellation(spark):
+    import threading
+    import time
+
+    from weftline.operators.cancellation import Canceled, Cancellation
+
+    whole = Cancellation(spark)
+    part = whole.child()
+    assert part.run(lambda: spark.range(3), lambda d: d.count()) == 3
+    caught = []
+
+    def work():
+        nap = F.udf(lambda i: time.sleep(60) or i, "long")
+        try:
+            part.run(lambda: spark.range(0, 4, 1, 4).select(nap("id").alias("x")), lambda d: d.collect())
+        except Canceled as e:
+            caught.append(e)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    time.sleep(4)
+    assert whole.cancel() == "waiting" and part.state == "waiting" and thread.is_alive()
+    with pytest.raises(Canceled):
+        part.run(lambda: spark.range(3), lambda d: d.count())
+    assert whole.cancel() == "canceling"
+    thread.join(50)
+    assert caught and not thread.is_alive()
+    alone = Cancellation(spark, fast=True)
+    assert alone.child().cancel() == "canceling" and alone.state == "running"

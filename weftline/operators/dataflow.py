@@ -51,6 +51,22 @@ def conditional(rows: DataFrame, clauses: list[tuple[Column | None, Callable[[Da
     return out
 
 
+def conditional_columns(rows: DataFrame, clauses: list[tuple[Column | None, dict[str, Column]]]) -> DataFrame:
+    """The same for clauses that only compute columns: one projection, and the rows are read once."""
+    names = list(dict.fromkeys(n for _, made in clauses for n in made))
+
+    def chosen(name: str) -> Column:
+        out = None
+        for cond, made in clauses:
+            value = made.get(name, F.lit(None))
+            if cond is None:
+                return value if out is None else out.otherwise(value)
+            out = F.when(cond, value) if out is None else out.when(cond, value)
+        return out
+
+    return rows.withColumns({n: chosen(n) for n in names})
+
+
 def call(rows: DataFrame, body: Callable[[DataFrame], DataFrame], inputs: dict[str, Column], name: str) -> DataFrame:
     """rows with the column `name`: the struct of what body makes of the inputs. body must keep the rows as they are (a
     projection), so no join is needed."""

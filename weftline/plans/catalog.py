@@ -426,6 +426,14 @@ def fl_conditional(spark, sf_dir):
     return compiler.run(rows, flow, keep=["o_orderkey"]).select("o_orderkey", F.col("paid_").alias("paid"), F.col("next_key_").alias("next_key"), F.col("said_").alias("said"))
 
 
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN round(value * 2, 4) WHEN 'purchase' THEN round(value + 1, 4) END AS changed FROM events")
+def fl_conditional_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    kind = F.col("event_type")
+    out = dataflow.conditional_columns(rows, [(kind == "click", {"changed": F.round(F.col("value") * 2, 4)}), (kind == "purchase", {"changed": F.round(F.col("value") + 1, 4)})])
+    return out.select("event_id", "changed")
+
+
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN round(value * 2, 4) WHEN 'purchase' THEN round(value + 1, 4) END AS changed FROM events")
 def fl_conditional_tables(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
