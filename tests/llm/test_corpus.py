@@ -126,6 +126,12 @@ def test_near_duplicates_need_several_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2)
 
 
+def test_an_id_with_several_texts_has_the_least(spark):
+    rows = [(1, "b c d e"), (1, "a b c d"), (1, None), (1, " "), (2, "a b c d"), (3, "b c d e"), (4, None), (4, ""), (4, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 3, 1)] * 4 + [(2, 3, 1), (3, 3, 3)] + [(4, 0, 4)] * 3
+
+
 def test_near_dedup_stage_takes_columns_of_any_kind(spark):
     rows = spark.createDataFrame([(1, "a b c d e f", {"k": "v"}), (1, "a b c d e f", {"k": "v"}), (2, "A b c d e f", {}), (None, "x", None), (3, None, {"z": None})], "doc_id long, text string, extra map<string,string>")
     got = corpus_pipeline.near_dedup(spark, rows, "").collect()

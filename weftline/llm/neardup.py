@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z as a-z; a text's set holds its distinct shingles of `words` words (fewer words: one
     shingle of all; null, empty or blank: none). Texts are linked if 100 * common >= percent * united; component_id is the
     least doc_id reachable by links and kept says whether it is the row's own. Sets are held by 64-bit hashes of shingles.
-    Empty sets are linked with nothing. Ids are integers (text that isn't one fails the query). Rows of one id are one document; rows without an id stand alone, kept, with a null
+    Empty sets are linked with nothing. Ids are integers (text that isn't one fails the query). Rows of one id are one document; if
+    their texts differ, the least that isn't blank is that of all of them. Rows without an id stand alone, kept, with a null
     component_id. Other columns are not read.
     """
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold=0):
@@ -228,9 +229,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    least = least_matches(percent)
+    bounds = least_matches(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(docs.mapInPandas(_signed(words), "doc_id long, n long, fp binary, bands array<long>, sig binary"))
+    sign = lambda d: cut(d.mapInPandas(_signed(words), "doc_id long, n long, fp binary, bands array<long>, sig binary"))
+    signed = sign(docs)
+    same = (F.min("fp") == F.max("fp")) & (F.count("fp") == F.count("*"))
+    torn = cut(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("fp").alias("k"), same.alias("same")).where("k > 0 and not same").select("doc_id"))
+    if not torn.isEmpty():  # ids with several texts
+        least = docs.join(torn, "doc_id").groupBy("doc_id").agg(F.min(F.when(F.length(F.trim("text")) > 0, F.col("text"))).alias("t"))
+        docs = cut(docs.join(least, "doc_id", "left").select("doc_id", F.coalesce("t", "text").alias("text")))
+        signed = sign(docs)
     has = F.col("fp").isNotNull() & F.col("doc_id").isNotNull()
     classes = signed.where(has).groupBy("fp").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "bands", "sig"), "doc_id").alias("r"))
     classes = cut(classes.select("fp", "id", "r.*"))
@@ -245,7 +253,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, tex
 
     stars = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), "parts").distinct()
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    hopeful = cut(stars.join(side("b"), "b").join(side("a"), "a").mapInPandas(_hopeful(least, percent), "a long, b long, parts int"))
+    hopeful = cut(stars.join(side("b"), "b").join(side("a"), "a").mapInPandas(_hopeful(bounds, percent), "a long, b long, parts int"))
     sent = hopeful.select(F.col("a").alias("g"), _pick("b", F.col("parts")).alias("s"), F.col("b").alias("id"), F.lit(1).alias("side"))
     sent = sent.unionByName(sent.select("g", "s", F.col("g").alias("id"), F.lit(0).alias("side")).distinct())
     links = cut(_with_text(cut(sent), docs).repartition("g", "s").sortWithinPartitions("g", "s", "side").mapInPandas(_stars(words, percent), "u long, v long"))
@@ -272,9 +280,9 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, tex
     )
     met = rest.select("g", "id", "label", F.explode(cells).alias("x")).select("g", "id", "label", "x.i", "x.j", "x.side")
     dealt = lambda x: x.join(reps, "id").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side")
-    met = cut(dealt(met).mapInPandas(_hopeful_members(percent, least), "g long, i int, j int, id long, label long, side int"))
+    met = cut(dealt(met).mapInPandas(_hopeful_members(percent, bounds), "g long, i int, j int, id long, label long, side int"))
     met = dealt(_with_text(met, docs))
-    more = met.mapInPandas(_blocks(words, percent, least), "u long, v long")
+    more = met.mapInPandas(_blocks(words, percent, bounds), "u long, v long")
 
     held = lambda x, y: labels.select(F.col("node").alias(x), F.col("label").alias(y))
     more = more.join(held("u", "lu"), "u", "left").join(held("v", "lv"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
