@@ -226,3 +226,16 @@ def test_memory_amounts(spark):
     assert [r.b for r in got] == [1, 4 * 2**30, 500, 2_000_000]
     with pytest.raises(Exception, match="no amount of memory"):
         spark.range(1).select(tasks.memory_bytes(F.lit("4 parrots"))).collect()
+
+
+def test_files_of_inputs_are_paths_until_they_are_read(spark, tmp_path):
+    from weftline.sources import held_files
+
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    doc = parse("workflow w { input { File f  Array[File] more = [] } output { Array[String] lines = read_lines(f)  String name = basename(f)  Float n = size(more) } }")
+    rows = inputs.table(spark, [{"w.f": str(tmp_path / "a.txt")}], doc.units["w"])
+    with pytest.raises(Exception, match="no content is at hand"):
+        run(rows, doc, contents=False).collect()
+    held = held_files(spark, str(tmp_path), "*.txt").select(F.regexp_replace("path", "^file:/*", "/").alias("p"), "file")
+    got = run(rows.join(held, F.col("f") == F.col("p")).select(F.col("file").alias("f")), doc, contents=False).first()
+    assert (got.lines, got["name"], got.n) == (["one", "two"], "a.txt", 0.0)

@@ -931,10 +931,11 @@ def _released(f: Column, _: T.Type) -> Column:
     return F.when(L.is_held(f), L.file_content(f)).otherwise(f)
 
 
-def run(rows: DataFrame, source: str | Document, workflow: str | None = None, keep: list[str] | None = None, imports: dict[str, str] | None = None) -> DataFrame:
+def run(rows: DataFrame, source: str | Document, workflow: str | None = None, keep: list[str] | None = None, imports: dict[str, str] | None = None, contents: bool = True) -> DataFrame:
     """One run of the workflow a row: its inputs are the columns of their names (or their defaults), its outputs become
     columns. Columns named in `keep` go along. Columns of Files hold contents, or paths with contents as
-    `sources.held_files` gives them; Files among the outputs come as contents. `imports`: texts of imported documents."""
+    `sources.held_files` gives them; without `contents` plain text is a path (as in inputs read from JSON). Files among the
+    outputs come as contents, or as paths where those aren't at hand. `imports`: texts of imported documents."""
     doc = parse(source, imports) if isinstance(source, str) else source
     flows = [u for n, u in doc.units.items() if u.command is None and "." not in n]
     unit = doc.units[workflow] if workflow else flows[-1] if flows else next(iter(doc.units.values()))
@@ -956,7 +957,7 @@ def run(rows: DataFrame, source: str | Document, workflow: str | None = None, ke
             sure = t.optional and not d.type.optional and d.expr is None
             col = T.require(F.col(d.name).isNotNull(), F.col(d.name), f"the input {d.name} is null") if sure else F.col(d.name)
             have = _loosened(t, d.type).required() if sure else _loosened(t, d.type)
-            given[d.name] = Value(over_files(col, have, _contents(have, d.name)), have)
+            given[d.name] = Value(over_files(col, have, _contents(have, d.name)) if contents else col, have)
     outputs = evaluated(unit, given, Env(doc, {}, hold, None, (unit.name,), hold))
     out = state.pop("df")
     for at, unit in state.items():
