@@ -59,7 +59,7 @@ def test_a_scatter_needs_no_shuffle(spark):
     "source",
     [
         "workflow w { Int a = b  Int b = a }", "workflow w { Int a = 1  Int a = 2 }", "workflow w { call w }", "workflow w { call other }", "workflow w { Int a = \"x\" }", "workflow w { scatter (x in 1) { Int y = x } }",
-        "workflow w { input { Int x } output { Int y = x } }", "workflow w { if (true) { Int a = 1 } output { Int b = a } }", "task t { command <<< >>> } workflow w { scatter (x in [1]) { scatter (y in [1]) { call t } } }",
+        "workflow w { input { Int x } output { Int y = x } }", "workflow w { if (true) { Int a = 1 } output { Int b = a } }", "task t { command <<< >>> } workflow v { call t } workflow w { scatter (x in [1]) { call v } }",
     ],
 )
 def test_refused(spark, source):
@@ -239,3 +239,29 @@ def test_files_of_inputs_are_paths_until_they_are_read(spark, tmp_path):
     held = held_files(spark, str(tmp_path), "*.txt").select(F.regexp_replace("path", "^file:/*", "/").alias("p"), "file")
     got = run(rows.join(held, F.col("f") == F.col("p")).select(F.col("file").alias("f")), doc, contents=False).first()
     assert (got.lines, got["name"], got.n) == (["one", "two"], "a.txt", 0.0)
+
+
+def test_tasks_in_a_scatter_within_a_scatter(spark):
+    source = """
+    task add { input { Int x  Int y } command <<< echo $((~{x} + ~{y})) >>> output { Int sum = read_int(stdout()) } }
+    workflow w {
+      input { Array[Int] xs }
+      scatter (x in xs) {
+        call add as ten { x = x, y = 10 }
+        scatter (y in range(x)) { call add { x = ten.sum, y }  Int more = add.sum + x }
+      }
+      output { Array[Int] tens = ten.sum  Array[Array[Int]] sums = add.sum  Array[Array[Int]] mores = more }
+    }"""
+    rows = spark.createDataFrame([([2, 0, 3],), ([],)], "xs array<bigint>")
+    a, b = run(rows, source).collect()
+    assert (a.tens, a.sums, a.mores) == ([12, 10, 13], [[12, 13], [], [13, 14, 15]], [[14, 15], [], [16, 17, 18]]) and (b.tens, b.sums) == ([], [])
+
+
+def test_objects_maps_of_files_and_empty_placeholders(spark):
+    source = """workflow w {
+      Object o = object { a: 10, b: "x" }
+      String? none = None
+      output { Int a = o.a  Boolean same = as_map([("k", ("f", "g"))]) == files  String s = "is ~{select_first([none])}" }
+      Map[String, Pair[File, File]] files = {"k": ("f", "g")}
+    }"""
+    assert tuple(run(spark.range(1), source).first()) == (10, True, "is ")

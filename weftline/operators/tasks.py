@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import os
 import subprocess
+import sys
 import tempfile
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.texts import UNITS
 from ..types import MARK, require
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
 MAX_RETRIES = 100
 RESULT = "struct<stdout: string, stderr: string, exit_status: int, attempt: int, ok: boolean, files: map<string, string>>"
 #: Commands of one row (a scatter within a workflow) that run at a time.

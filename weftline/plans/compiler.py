@@ -235,7 +235,7 @@ def _infix(e, env, inside):
     if op in ("==", "!="):
         (x, y), t = _unified([a, b])
         if t.kind == "Map":
-            x, y = F.map_entries(x), F.map_entries(y)
+            x, y = L.as_pairs(x), L.as_pairs(y)
             t = T.array(T.pair(*t.args))
         if not _comparable(t):
             raise TypeMismatch(f"{t} can't be compared: it holds maps")
@@ -296,6 +296,8 @@ def _call(e, env, inside):
         args[0] = Value(_made(args[0].to(args[0].type if args[0].type.kind == "File" else FILE.opt() if args[0].type.optional else FILE), FILE, env), replace(args[0].type, kind="File"))
     if name not in LIBRARY:
         raise TypeMismatch(f"no function {name}")
+    if name == "select_first" and inside and len(args) == 1:  # in a placeholder what fails is empty
+        return Value(F.get(F.array_compact(args[0].col), F.lit(0)), _items(args[0]).opt())
     arity, f = LIBRARY[name]
     arity(name, args)
     return f(*args)
@@ -608,8 +610,11 @@ def ordered(body: list) -> list:
 
 def statement(s, env: Env) -> None:
     if isinstance(s, Decl):
-        col = expression(s.expr, env).to(s.type)
-        env.bind(s.name, Value(_made(col, s.type, env) if env.task is not None else col, s.type))
+        v = expression(s.expr, env)
+        # a record written out as an Object keeps its members' types
+        t = replace(v.type, optional=s.type.optional) if s.type.kind == "Object" and v.type.members and not v.type.optional else s.type
+        col = v.to(t)
+        env.bind(s.name, Value(_made(col, t, env) if env.task is not None else col, t))
     elif isinstance(s, Scatter):
         over = _expect(expression(s.over, env), "Array")
         if any(_tasks_in(t, env.doc) for t in s.body):
@@ -691,33 +696,45 @@ def called(s: Call, env: Env) -> Value:
 def layered(s: Scatter, over: Value, env: Env) -> None:
     """A scatter whose body calls tasks, layer by layer: elements are structs that grow by what each statement makes."""
     if env.hold is None:
-        raise TypeMismatch("a task is called in a scatter within a scatter: scatter the table (operators.dataflow.scatter) and call it there")
-    types = {s.var: over.type.args[0]}
+        raise TypeMismatch("a scatter that calls tasks stands in a workflow that a scatter calls: scatter the table (operators.dataflow.scatter) and call it there")
     base = F.transform(over.col, lambda x: F.struct(x.alias(s.var)))
     acc = env.hold(f"scatter_{s.var}", Value(base if env.guard is None else F.when(env.guard, base), NONE)).col
-    names = lambda e: {n: Value(e[n], t) for n, t in types.items()}
-    grown = lambda e, more: F.struct(*(e[n].alias(n) for n in types), *(v.col.alias(n) for n, v in more.items()))
-    for t in ordered(s.body):
-        got: dict[str, T.Type] = {}
-        if isinstance(t, Call) and _unit(t, env.doc).command is not None:
-            unit, scope = _unit(t, env.doc), {}
-
-            def before(e: Column) -> Column:
-                outer, inner = env.element(names(e)), Env(unit.doc or env.doc)
-                bound(unit, {k: expression(x, outer) for k, x in t.inputs.items()}, inner)
-                scope.update({n: v.type for n, v in inner.names.items()})
-                return F.struct(task_call(unit, inner).alias("call"), _outputs(inner.names).col.alias("names"))
-
-            ready = env.hold(f"calls_{t.alias}", Value(F.transform(acc, before), NONE)).col
-            ran = env.hold(f"ran_{t.alias}", Value(tasks.commands(_each_member(ready, "call")), NONE), unit).col
+    acc, types = _layers(s.body, acc, {s.var: over.type.args[0]}, env)
+    for n, t in types.items():
+        if n != s.var:
+            env.bind(n, Value(_each_member(acc, n), T.array(t, over.type.nonempty)))
 
-            def after(e: Column, x: Column) -> Column:
-                inner = Env(unit.doc or env.doc, {n: Value(x["p"]["names"][n], k) for n, k in scope.items()})
-                made_ = _outputs(finished(unit, inner, x["r"]))
-                got[t.alias] = made_.type
-                return grown(e, {t.alias: made_})
 
-            acc = F.zip_with(acc, F.zip_with(ready, ran, lambda p, r: F.struct(p.alias("p"), r.alias("r"))), after)
+def _layers(body: list, acc: Column, types: dict[str, T.Type], env: Env) -> tuple[Column, dict[str, T.Type]]:
+    """The elements after the statements of a scatter's body, and the types of their members. Elements of a scatter within it
+    are laid end to end for their own layers and put back by their outer element's place."""
+    for t in ordered(body):
+        types, got = dict(types), {}
+        names = lambda e, types=types: {n: Value(e[n], k) for n, k in types.items()}
+        kept = lambda e, types=types: [e[n].alias(n) for n in types]
+        grown = lambda e, more, kept=kept: F.struct(*kept(e), *(v.col.alias(n) for n, v in more.items()))
+        if isinstance(t, Call) and _unit(t, env.doc).command is not None:
+            acc = _task_layer(t, acc, env, names, grown, got)
+        elif isinstance(t, Scatter) and _tasks_in(t, env.doc):
+            kinds: list[T.Type] = []
+
+            def spread(e: Column, i: Column) -> Column:
+                inner = _expect(expression(t.over, env.element(names(e))), "Array")
+                kinds[:] = [inner.type]
+                return F.transform(inner.col, lambda x: F.struct(i.alias("_at"), *(e[n].alias(n) for n in types if n != t.var), x.alias(t.var)))
+
+            flat = env.hold(f"scatter_{t.var}", Value(F.flatten(F.transform(acc, spread)), NONE)).col
+            inner_types = {n: k for n, k in types.items() if n != t.var} | {t.var: kinds[0].args[0], "_at": INT}
+            flat, inner_types = _layers(t.body, flat, inner_types, env)
+            new = {n: inner_types[n] for n in sorted(made(t))}
+
+            def gathered(e: Column, i: Column) -> Column:
+                mine = F.filter(flat, lambda r: r["_at"] == i)
+                more = {n: Value(_each_member(mine, n), T.array(k, kinds[0].nonempty)) for n, k in new.items()}
+                got.update({n: v.type for n, v in more.items()})
+                return grown(e, more)
+
+            acc = F.transform(acc, gathered)
         else:
 
             def step(e: Column) -> Column:
@@ -728,11 +745,31 @@ def layered(s: Scatter, over: Value, env: Env) -> None:
                 return grown(e, new)
 
             acc = F.transform(acc, step)
-        acc = env.hold(f"scatter_{s.var}_{len(types)}", Value(acc, NONE)).col
+        acc = env.hold(f"layer_{len(types)}", Value(acc, NONE)).col
         types |= got
-    for n, t in types.items():
-        if n != s.var:
-            env.bind(n, Value(_each_member(acc, n), T.array(t, over.type.nonempty)))
+    return acc, types
+
+
+def _task_layer(t: Call, acc: Column, env: Env, names, grown, got: dict[str, T.Type]) -> Column:
+    """Elements with the outputs of a task that each of them calls; `got` is told their type."""
+    unit, scope = _unit(t, env.doc), {}
+
+    def before(e: Column) -> Column:
+        outer, inner = env.element(names(e)), Env(unit.doc or env.doc)
+        bound(unit, {k: expression(x, outer) for k, x in t.inputs.items()}, inner)
+        scope.update({n: v.type for n, v in inner.names.items()})
+        return F.struct(task_call(unit, inner).alias("call"), _outputs(inner.names).col.alias("names"))
+
+    ready = env.hold(f"calls_{t.alias}", Value(F.transform(acc, before), NONE)).col
+    ran = env.hold(f"ran_{t.alias}", Value(tasks.commands(_each_member(ready, "call")), NONE), unit).col
+
+    def after(e: Column, x: Column) -> Column:
+        inner = Env(unit.doc or env.doc, {n: Value(x["p"]["names"][n], k) for n, k in scope.items()})
+        out = _outputs(finished(unit, inner, x["r"]))
+        got[t.alias] = out.type
+        return grown(e, {t.alias: out})
+
+    return F.zip_with(acc, F.zip_with(ready, ran, lambda p, r: F.struct(p.alias("p"), r.alias("r"))), after)
 
 
 def bound(unit: Unit, given: dict[str, Value], env: Env) -> None:
