@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import cut, small_batches, table
 
 #: Characters of a chunk, and by how many it runs into the next.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 32_768, 512
 #: How far beyond a boundary the pattern may look; boundaries nearer to a chunk's end are not used.
 AHEAD = 4
 RANKS = "byte_bpe_multi_50k.tiktoken"
