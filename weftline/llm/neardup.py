@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 5
 #: Odds with which a pair at the threshold may be dropped unverified, and hashes compared at a time.
 MISS, BATCH = 1e-7, 32
 #: Members, and shingles, of one side of a block (expected).
-MEMBERS, SHINGLES = 512, 500_000
+MEMBERS, SHINGLES = 256, 500_000
 HASHES = BANDS * ROWS
 _rng = np.random.default_rng(0xB0B)
 _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
