@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import Type, require
+from ..types import Type, once, require
 
 
 def lookup(m: Column, key: Column) -> Column:
@@ -35,11 +35,6 @@ def contains_key(m: Column, key: Column) -> Column:
     return F.coalesce(F.map_contains_key(m, key), F.lit(False))
 
 
-def _named(value: Column, f) -> Column:
-    """f(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def collect_by_key(pairs: Column) -> Column:
     """Values by key: keys by first appearance, each key's values in order. The pairs are sorted once, so that a group is a
     stretch of them."""
@@ -48,11 +43,11 @@ def collect_by_key(pairs: Column) -> Column:
         n = F.size(order)
         begins = F.filter(F.transform(order, lambda e, j: F.struct(e["i"].alias("i"), j.alias("j"), e["k"].alias("k"))), lambda b: (b["j"] == 0) | ~F.get(order, b["j"] - 1)["k"].eqNullSafe(b["k"]))
         ends = lambda b: F.concat(F.transform(F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0))), lambda x: x["j"]), F.array(n))
-        parts = _named(begins, lambda b: F.array_sort(F.zip_with(b, F.when(n > 0, ends(b)).otherwise(F.array().cast("array<int>")), lambda x, e: F.struct(x["i"].alias("i"), x["j"].alias("j"), e.alias("e"), x["k"].alias("k")))))
+        parts = once(begins, lambda b: F.array_sort(F.zip_with(b, F.when(n > 0, ends(b)).otherwise(F.array().cast("array<int>")), lambda x, e: F.struct(x["i"].alias("i"), x["j"].alias("j"), e.alias("e"), x["k"].alias("k")))))
         value = lambda e: F.get(pairs, e["i"])["right"]
-        return _named(parts, lambda p: F.map_from_arrays(F.transform(p, lambda x: x["k"]), F.transform(p, lambda x: F.transform(F.slice(order, x["j"] + 1, x["e"] - x["j"]), value))))
+        return once(parts, lambda p: F.map_from_arrays(F.transform(p, lambda x: x["k"]), F.transform(p, lambda x: F.transform(F.slice(order, x["j"] + 1, x["e"] - x["j"]), value))))
 
-    return F.when(pairs.isNotNull(), _named(F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["left"].alias("k"), i.alias("i")))), grouped))
+    return F.when(pairs.isNotNull(), once(F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["left"].alias("k"), i.alias("i")))), grouped))
 
 
 def enum_value(choice: Column, of: Type) -> Column:

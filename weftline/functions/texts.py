@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import MARK, file_name, require
+from ..types import MARK, file_name, once, require
 
 #: Bytes of a unit of size (decimal, then binary units).
 UNITS = {"B": 1} | {x: 1000**k for k, u in enumerate("KMGT", 1) for x in (u, f"{u}B")} | {x: 1024**k for k, u in enumerate("KMGT", 1) for x in (f"{u}i", f"{u}iB")}
@@ -23,8 +23,12 @@ def is_held(file: Column) -> Column:
 
 def file_content(file: Column) -> Column:
     """What a File holds; null for null. A path whose content isn't at hand fails."""
-    got = F.substring(file, F.length(file_name(file)) + 2, F.length(file))
-    return F.when(file.isNotNull(), require(is_held(file), got, F.concat(F.lit("no content is at hand for the file "), file, F.lit(": read it with sources.held_files"))))
+
+    def held_by(f: Column) -> Column:
+        fault = F.concat(F.lit("no content is at hand for the file "), f, F.lit(": read it with sources.held_files"))
+        return F.when(f.isNotNull(), require(is_held(f), F.substring(f, F.length(file_name(f)) + 2, F.length(f)), fault))
+
+    return once(file, held_by)
 
 
 def glob_pattern(glob: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import functions as L
 from .. import types as T
 from ..operators import tasks
-from ..types import BOOLEAN, FILE, FLOAT, INT, NONE, OBJECT, STRING, TypeMismatch, coerce, common_type, file_name, has_files, over_files, rendered
+from ..types import BOOLEAN, FILE, FLOAT, INT, NONE, OBJECT, STRING, TypeMismatch, coerce, common_type, file_name, has_files, once, over_files, rendered
 from .parser import Call, Conditional, Decl, Document, Scatter, Unit, parse
 
 
@@ -455,23 +455,26 @@ def _size(v, u=None):
 
 
 def _read(f, t):
-    return lambda x: Value(f(L.file_content(x.to(FILE))), t)
+    return lambda x: Value(once(L.file_content(x.to(FILE)), f), t)
 
 
 def _written(content: Column) -> Value:
     """A File of content that an expression made; its name follows from the content."""
-    return Value(L.held(F.concat(F.lit("tmp/"), F.substring(F.md5(content.cast("binary")), 1, 16)), content), FILE)
+    return Value(once(content, lambda c: L.held(F.concat(F.lit("tmp/"), F.substring(F.md5(c.cast("binary")), 1, 16)), c)), FILE)
 
 
 def _read_tsv(x, header=None, names=None):
     content = L.file_content(x.to(FILE))
     if header is None:
-        return Value(L.parse_tsv(content), T.array(T.array(STRING)))
-    if names is not None:
-        rows = L.parse_objects(content, names.col)
-        skipped = L.parse_objects(F.regexp_replace(content, F.lit(r"^[^\n]*\n?"), F.lit("")), names.col)
-        return Value(F.when(header.col, skipped).otherwise(rows), T.array(OBJECT))
-    return Value(L.parse_objects(content), T.array(OBJECT))
+        return Value(once(content, L.parse_tsv), T.array(T.array(STRING)))
+    if names is None:
+        return Value(once(content, L.parse_objects), T.array(OBJECT))
+
+    def rows(c: Column) -> Column:
+        skipped = L.parse_objects(F.regexp_replace(c, F.lit(r"^[^\n]*\n?"), F.lit("")), names.col)
+        return F.when(header.col, skipped).otherwise(L.parse_objects(c, names.col))
+
+    return Value(once(content, rows), T.array(OBJECT))
 
 
 def _write_tsv(a, header=None, names=None):
@@ -873,9 +876,13 @@ def _task_record(unit: Unit, env: Env, attempt: Column, return_code: Column | No
 
 def _localised(f: Column, _: T.Type) -> Column:
     """A File as the task's folder has it: under a name of its own, with its own last segment."""
-    name = file_name(f)
-    local = F.concat(F.lit("inputs/"), F.substring(F.md5(name.cast("binary")), 1, 8), F.lit("/"), L.basename(name))
-    return F.when(L.is_held(f), L.held(local, L.file_content(f))).otherwise(f)
+
+    def local(x: Column) -> Column:
+        name = file_name(x)
+        place = F.concat(F.lit("inputs/"), F.substring(F.md5(name.cast("binary")), 1, 8), F.lit("/"), L.basename(name))
+        return F.when(L.is_held(x), L.held(place, L.file_content(x))).otherwise(x)
+
+    return once(f, local)
 
 
 def task_call(unit: Unit, env: Env) -> Column:
@@ -960,12 +967,12 @@ def task_options(unit: Unit) -> tuple[dict[str, object], dict[str, object]]:
 
 def _contents(t: T.Type, name: str):
     """Table columns of type File: a path with its content stays, other text is a content without a path."""
-    return lambda f, _: F.when(L.is_held(f), f).otherwise(L.held(F.lit(name), f))
+    return lambda f, _: once(f, lambda x: F.when(L.is_held(x), x).otherwise(L.held(F.lit(name), x)))
 
 
 def _released(f: Column, _: T.Type) -> Column:
     """A File as a table shows it: its content, or its path where the content isn't at hand."""
-    return F.when(L.is_held(f), L.file_content(f)).otherwise(f)
+    return once(f, lambda x: F.when(L.is_held(x), L.file_content(x)).otherwise(x))
 
 
 def run(rows: DataFrame, source: str | Document, workflow: str | None = None, keep: list[str] | None = None, imports: dict[str, str] | None = None, contents: bool = True) -> DataFrame:

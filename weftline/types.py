@@ -165,6 +165,11 @@ def file_name(col: Column) -> Column:
     return F.substring_index(col, MARK, 1)
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f names it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))  # a lambda of one parameter, whatever f's defaults
+
+
 def has_files(t: Type) -> bool:
     return t.kind == "File" or any(map(has_files, t.args)) or any(has_files(m) for _, m in t.members)
 
