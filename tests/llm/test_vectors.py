@@ -99,3 +99,42 @@ def test_few_and_none(spark):
     assert [(r.vec_id, r.score) for r in got] == [(3, 2**63 - 1), (1, 2**62), (2, 2**62 - 2**31), (4, -(2**63) + 1)]
     none = finite_vectors(spark.createDataFrame([], schema))
     assert exact_top_k(none, none).collect() == [] and nearest(none, none).collect() == []
+
+
+COPIES = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from weftline.llm.topk import exact_top_k
+
+conf = {"spark.driver.memory": "640m", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": sys.argv[1]}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+same = spark.range(600_000).select("id", F.array(*(F.lit(float(i % 37)) for i in range(64))).alias("v"))
+got = exact_top_k(same, same.where("id % 100000 = 50")).orderBy("query_id", "rank").collect()
+score = sum((i % 37) ** 2 for i in range(64))
+assert [tuple(r) for r in got] == [(q, k + 1, k, score) for q in range(50, 600_000, 100_000) for k in range(5)]
+spark.stop()
+"""
+
+
+def test_blocks_of_copies_are_held_a_few_at_a_time(tmp_path):
+    """600,000 copies are 300 MB in blocks, though a few in their files; all of Spark has 640 MB here."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", COPIES, str(tmp_path)], cwd=root, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_blocks_are_bounded_by_components(spark, vectors, monkeypatch):
+    from weftline.llm import topk
+
+    some = finite_vectors(spark.createDataFrame([(i, [float(int(x * 256)) for x in v]) for i, v in enumerate(vectors[:120])], "vec_id long, embedding array<double>"))
+    want = sorted(map(tuple, exact_top_k(some, some).collect()))
+    held = []
+    monkeypatch.setattr(topk, "COMPONENTS", 24 * 16)  # of 24 dimensions: blocks of 16 candidates and 4 queries about, 4 tasks of queries
+    monkeypatch.setattr(topk, "packed", lambda rows, keys, fields, prefix, f=topk.packed: held.append((prefix, rows.select(keys[0]).distinct().count())) or f(rows, keys, fields, prefix))
+    assert sorted(map(tuple, exact_top_k(some, some).collect())) == want
+    assert {p for p, n in held} == {"c", "q"} and all(n >= (6 if p == "c" else 20) for p, n in held)

@@ -43,10 +43,11 @@ def _sweep(spark: SparkSession, root: str) -> None:
         return
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends here and survives lost executors."""
+def cut(df: DataFrame, **options: object) -> DataFrame:
+    """df written once to the shared folder (by the writer's options) and read back: lineage ends here and survives lost
+    executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

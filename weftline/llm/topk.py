@@ -1,6 +1,7 @@
 """Exact top-k inner products by distributed histogram selection.
 
-Every query meets every candidate, block by block: packed query blocks travel to each packed candidate block. A round counts
+Every query meets every candidate, block by block: each task reads some packed candidate blocks and a few packed query blocks,
+so that neither is written once for each of the other. A round counts
 scores into the bins of each query's current interval, sums the counts over all blocks and keeps the bin that holds the
 k-th value; rounds go on until bins are one wide, so that the k-th value is known exactly. A last pass keeps the scores
 above it and, at it, the least ids. Scores are integers, computed exactly, and never stored.
@@ -19,8 +20,14 @@ from pyspark.sql import functions as F
 from .shared import cut, settings, table
 
 TOP, EVERY = 5, 50
-#: Vectors in a packed block of candidates and of queries, and bins of a histogram.
+#: Vectors in a packed block of candidates and of queries at most, and bins of a histogram.
 CANDIDATES, QUERIES, BINS = 4096, 1024, 512
+#: Components in a packed block of candidates at most (8 MB; a quarter of that in one of queries), and query blocks of a task.
+COMPONENTS, TOGETHER = 1 << 20, 8
+#: Blocks that a file's writer holds before it looks at their size, and that its reader decodes at once. However well they are
+#: compressed (copies are, to a hundredth), a task holds a few of them.
+AT_ONCE = 2
+BLOCK_FILE = {"parquet.page.size.row.check.min": AT_ONCE, "parquet.block.size.row.check.min": AT_ONCE, "parquet.page.size.row.check.max": AT_ONCE, "parquet.block.size.row.check.max": AT_ONCE}
 #: The largest long. A score that no long can hold is held here (256 * x of unit vectors stays below 2**17).
 HELD = 2**63 - 1
 
@@ -113,15 +120,19 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFra
     own id is no candidate; vectors of another dimension aren't either. Ties go to the smaller id. Fewer candidates than k:
     all of them. No queries or no candidates: no rows.
     """
-    with settings(vectors.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=4):
-        return _exact_top_k(vectors, queries, k)
-
-
-def _exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    n, norm = vectors.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    nq = queries.count()
-    nc, nb = blocks_of(n, CANDIDATES), blocks_of(nq, QUERIES)
-    cand = cut(packed(vectors.withColumn("cb", block(nc)).withColumn("dim", F.size("v")), ["cb", "dim"], ["id", "v"], "c"))
+    spark = vectors.sparkSession
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=4, spark__sql__objectHashAggregate__sortBased__fallbackThreshold=4):
+        n, dim, norm = vectors.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+        nc = blocks_of(n, max(1, min(CANDIDATES, COMPONENTS // max(dim or 0, 1))))
+        cand = cut(packed(vectors.withColumn("cb", block(nc)).withColumn("dim", F.size("v")), ["cb", "dim"], ["id", "v"], "c"), **BLOCK_FILE)
+        queries = cut(queries)
+        asked_dim = queries.agg(F.max(F.size("v"))).first()[0]
+        nb = blocks_of(queries.count(), max(1, min(QUERIES, COMPONENTS // 4 // max(asked_dim or 0, 1))))
+        with settings(spark, spark__sql__parquet__columnarReaderBatchSize=AT_ONCE):
+            return _exact_top_k(cand, queries, nb, norm, k)
+
+
+def _exact_top_k(cand: DataFrame, queries: DataFrame, nb: int, norm: float | None, k: int) -> DataFrame:
     span = int(min((norm or 0) * (1 + 1e-9) + 2, HELD))  # no score is beyond the largest square of a norm
     most = 2 * span + 1
     width = max(1, BINS ** max(0, math.ceil(math.log(most, BINS)) - 1))
@@ -131,8 +142,9 @@ def _exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def met(run, schema: str) -> DataFrame:
         asked = queries.join(state, "id").withColumn("qb", block(nb)).withColumn("dim", F.size("v"))
-        asked = packed(asked, ["qb", "dim"], ["id", "v", "lo", "left"], "q").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-        return cand.join(asked, ["cb", "dim"]).mapInArrow(run, schema)
+        asked = packed(asked, ["qb", "dim"], ["id", "v", "lo", "left"], "q").repartition(blocks_of(nb, TOGETHER))
+        # every task reads its share of either side; a file's size says little of its blocks, so neither is broadcast
+        return cand.join(asked.hint("shuffle_replicate_nl"), ["dim"]).mapInArrow(run, schema)
 
     while True:
         counts = met(_histograms(width, BINS), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
