@@ -41,6 +41,39 @@ def test_long_texts_of_other_scripts_are_parted(spark):
         assert r.ids == enc.encode_ordinary(r.text)
 
 
+def test_hashes_are_those_of_ids_and_of_decoded_bytes(spark, messy):
+    vocab = bpe.default_vocabulary(spark)
+    coded = bpe.hashes(bpe.decode(bpe.encode(messy, vocab, chunk=100, overlap=40), vocab), vocab).drop("text")
+    for r in coded.collect():
+        assert r.hashes.ids == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
+        assert r.hashes.decoded == hashlib.sha256(r.decoded).hexdigest()
+    none = bpe.hashes(bpe.decode(spark.createDataFrame([(1, None)], "doc_id int, ids array<int>"), vocab), vocab).first()
+    assert none.hashes is None and none.decoded is None
+
+
+def test_ids_are_decoded_a_row_at_a_time_in_batches_bounded_by_bytes(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    raw = [b"%d " % i for i in range(50_000)]
+    ids = pa.array([np.random.default_rng(i).integers(300, 50_000, 100_000).astype(np.int32) for i in range(24)])
+    tracemalloc.start()
+    sizes = [len(got) for _, got in bpe._decoded(ids, raw)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sizes) == 24 and most < 24e6  # all rows as lists of Python take 80 MB and more
+    before = [spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")]
+    try:
+        for given, want in (("256m", str(bpe.BATCH_BYTES)), ("64k", "64k")):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", given)
+            bpe.encode(spark.createDataFrame([(1, "a")], "doc_id int, text string"), bpe.default_vocabulary(spark))
+            assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == want
+    finally:
+        for k, v in zip(("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"), before):
+            spark.conf.set(k, v)
+
+
 def test_secrets(spark, messy, nothing):
     got = secrets.secret_spans(messy).collect()
     assert len(got) == len(messy_rows())

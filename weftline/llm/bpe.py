@@ -9,6 +9,7 @@ end to end. If two chunks never meet, the rest of that text is one part. Texts o
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -27,17 +28,30 @@ from .shared import cut, small_batches, table
 CHUNK, OVERLAP = 32_768, 512
 #: How far beyond a boundary the pattern may look; boundaries nearer to a chunk's end are not used.
 AHEAD = 4
+#: Bytes of an Arrow batch of texts or ids at most, unless a row alone has more.
+BATCH_BYTES = 1 << 22
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-def built(vocab: dict) -> tuple[tiktoken.Encoding, list[bytes], regex.Pattern]:
-    """The tokenizer, the bytes of each id and the pattern; made once a worker and kept in the broadcast value."""
-    if "built" not in vocab:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocab["ranks"].splitlines())}
+def _ranks(vocab: dict) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocab["ranks"].splitlines())}
+
+
+def token_bytes(vocab: dict) -> list[bytes]:
+    """The bytes of each id; made once a worker and kept in the broadcast value. Workers that decode need no more."""
+    if "raw" not in vocab:
+        ranks = _ranks(vocab)
         raw = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             raw[v] = k
-        vocab["built"] = tiktoken.Encoding("ranks", pat_str=vocab["pattern"], mergeable_ranks=ranks, special_tokens={}), raw, regex.compile(vocab["pattern"])
+        vocab["raw"] = raw
+    return vocab["raw"]
+
+
+def built(vocab: dict) -> tuple[tiktoken.Encoding, regex.Pattern]:
+    """The tokenizer and the pattern; made once a worker and kept in the broadcast value."""
+    if "built" not in vocab:
+        vocab["built"] = tiktoken.Encoding("ranks", pat_str=vocab["pattern"], mergeable_ranks=_ranks(vocab), special_tokens={}), regex.compile(vocab["pattern"])
     return vocab["built"]
 
 
@@ -76,7 +90,7 @@ def _boundaries(vocab: Broadcast, overlap: int) -> Callable[[Column], Column]:
 
     @F.arrow_udf("array<int>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pattern = built(vocab.value)[2]
+        pattern = built(vocab.value)[1]
         for texts in batches:
             out = []
             for t in texts.to_pylist():
@@ -92,7 +106,7 @@ def encode(docs: DataFrame, vocab: Broadcast, text_col: str = "text", out: str =
 
     Null text gives no ids, as empty text does. Other columns are kept as they are; a column named `out` is replaced.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH_BYTES)
     run = _encoder(vocab)
     docs = docs.drop(out)
     is_long = F.coalesce(F.length(text_col) > chunk, F.lit(False))
@@ -116,22 +130,44 @@ def encode(docs: DataFrame, vocab: Broadcast, text_col: str = "text", out: str =
     return short.unionByName(long.join(ids, row).drop(row))
 
 
+def _decoded(ids: pa.ListArray, raw: list[bytes]) -> Iterator[tuple[list[int] | None, bytes | None]]:
+    """The ids of each row and their bytes, one row at a time: numbers of Python take nine times the room of a batch's."""
+    for x in ids:
+        own = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else None
+        yield own, None if own is None else b"".join(map(raw.__getitem__, own))
+
+
 def decode(rows: DataFrame, vocab: Broadcast, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with the column `out`: the raw bytes of the ids, laid end to end (null for null ids). An id out of the vocabulary raises."""
-    small_batches(rows.sparkSession)
+    small_batches(rows.sparkSession, size=BATCH_BYTES)
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        raw = built(vocab.value)[1]
+        raw = token_bytes(vocab.value)
+        for ids in batches:
+            yield pa.array([got for _, got in _decoded(ids, raw)], pa.binary())
+
+    return rows.withColumn(out, run(F.col(ids_col)))
+
+
+def hashes(rows: DataFrame, vocab: Broadcast, ids_col: str = "ids", out: str = "hashes") -> DataFrame:
+    """rows with the column `out`: ids, the SHA-256 of the ids in decimal joined by commas, and decoded, that of their bytes as
+    `decode` gives them (null for null ids). They are made where the ids are decoded: neither text travels."""
+    small_batches(rows.sparkSession, size=BATCH_BYTES)
+
+    @F.arrow_udf("struct<ids: string, decoded: string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        raw = token_bytes(vocab.value)
+        kind = pa.struct([("ids", pa.string()), ("decoded", pa.string())])
         for ids in batches:
-            yield pa.array([None if x is None else b"".join(map(raw.__getitem__, x)) for x in ids.to_pylist()], pa.binary())
+            yield pa.array([None if own is None else {"ids": hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(), "decoded": hashlib.sha256(got).hexdigest()} for own, got in _decoded(ids, raw)], kind)
 
     return rows.withColumn(out, run(F.col(ids_col)))
 
 
 def digests(docs: DataFrame, vocab: Broadcast) -> DataFrame:
-    coded = decode(encode(docs.select("doc_id", "text"), vocab).drop("text"), vocab)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = hashes(encode(docs.select("doc_id", "text"), vocab).drop("text"), vocab)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("hashes.ids").alias("ids_sha256"), F.col("hashes.decoded").alias("decoded_sha256"))
 
 
 def default_vocabulary(spark: SparkSession) -> Broadcast:

@@ -51,14 +51,16 @@ def cut(df: DataFrame, **options: object) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, for operators that send whole texts to Python. Their frames run later, under the
-    session's settings of that time, so the bound stays; a lower one is left alone."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int | None = None) -> None:
+    """Bounds the rows (and with `size` the bytes) of an Arrow batch, for operators that send whole texts to Python. Their frames
+    run later, under the session's settings of that time, so the bound stays; a lower one is left alone."""
     if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
         spark.conf.set(ARROW_ROWS, str(rows))
+    if size and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(ARROW_BYTES)) > size:
+        spark.conf.set(ARROW_BYTES, str(size))
 
 
 @contextmanager
