@@ -222,6 +222,13 @@ def test_repeated_copies_with_a_changed_first_word_are_all_found():
                 assert got == [" ".join(words[1:])] * n
 
 
+def test_stray_words_do_not_stretch_a_copy():
+    m = [(0, 0), (9, 1), (10, 2), (11, 3), (13, 4), (30, 5)]
+    assert licenses.tight(m, 2) == [(9, 1), (10, 2), (11, 3), (13, 4)]
+    assert licenses.tight(m, 5) == m[1:] or licenses.tight(m, 5) == m[:-1]
+    assert licenses.tight(m, 6) == m and licenses.tight([], 0) == []
+
+
 def windows_that_match(words, template, need):
     """Whether any window of the text, aligned with the template, covers it."""
     reach = licenses.STRETCH * len(template)

@@ -97,6 +97,16 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def tight(m: list[tuple[int, int]], need: int) -> list[tuple[int, int]]:
+    """An alignment without words at its ends that lie far off: those are left out between which and the rest there are more other
+    words than they are themselves (a stray word, or words of the copy before), while `need` words stay."""
+    for way in (1, -1):
+        m = m[::way]
+        at = range(max(0, len(m) - need) + 1)
+        m = m[max(at, key=lambda a: (abs(m[a][0] - m[0][0]) - 2 * a, -a)) :][::way] if m else m
+    return m
+
+
 def needed(template: list[str], coverage: float) -> int:
     """The fewest words of the template that make up the coverage (4 of 5 at 0.8, whatever the rounding of the product)."""
     return math.ceil(coverage * len(template) - 1e-9)
@@ -163,7 +173,8 @@ def _copies(words: list[str], begin: int, end: int, template: list[str], rare: s
             before, after = nth[k] - i - 1, nth[k] + len(js) - i
             near = max(lo, own[before] + 1) if before >= 0 else lo, min(hi, own[after]) if after < len(own) else hi
             found += [_around(words, template, k, j, *x) for x in {near, (lo, hi)}]
-        return max((m for m in found if len(m) >= need and m[-1][0] - m[0][0] < reach), key=_rank, default=[])
+        found = [tight(m, need) for m in found if len(m) >= need and m[-1][0] - m[0][0] < reach]
+        return max((m for m in found if m[0][0] <= k <= m[-1][0]), key=_rank, default=[])
 
     free, i = begin, 0
     while i < len(at):
@@ -233,15 +244,15 @@ def licences(text: str, templates: dict[str, list[str]], rare: dict[str, set[str
                     continue
                 part = words[b:e]
                 met = aligned(part, template)
-                share = len(met) / len(template)
                 span = met[-1][0] - met[0][0] + 1 if met else 0
                 if len(met) < need or span > STRETCH * len(template):
                     # several copies leave no word unique: look again around each place of a rare word
                     for m in [*_copies(words, b, e, template, rare[name], need)] or _windows(words, b, e, template, need):
                         out.append({"license": name, "coverage": len(m) / len(template), "start": places[m[0][0]][0], "end": places[m[-1][0]][1]})
                     continue
+                met = tight(met, need)
                 first, last = b + met[0][0], b + met[-1][0]
-                out.append({"license": name, "coverage": share, "start": places[first][0], "end": places[last][1]})
+                out.append({"license": name, "coverage": len(met) / len(template), "start": places[first][0], "end": places[last][1]})
                 parts += [(b, first), (last + 1, e)]
     inside = lambda x, y: x is not y and y["start"] <= x["start"] and x["end"] <= y["end"] and (y["end"] - y["start"], y["license"]) > (x["end"] - x["start"], x["license"])
     return sorted((x for x in out if not any(inside(x, y) for y in out)), key=lambda x: (x["start"], x["license"]))
